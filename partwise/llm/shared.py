@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +87,10 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 class Words:
     """Words of the texts i0..i1 of a batch: hash of each, and bounds of each text's words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, letters: np.ndarray = LOWER):
         self.first, self.n = first, len(offsets) - 1
         self.offsets = offsets - offsets[0]
-        self.low = LOWER[data[offsets[0] : offsets[-1]]]
+        self.low = letters[data[offsets[0] : offsets[-1]]]
         is_word = WORD[self.low]
         before = np.zeros(len(is_word) + 1, dtype=bool)
         before[1:] = is_word
@@ -156,31 +155,33 @@ def word_chunks(column: pa.Array) -> Iterator[Words]:
 # --- graphs ------------------------------------------------------------------
 
 
-def star_pairs(keys: DataFrame, check=None) -> DataFrame:
+def star_pairs(keys: DataFrame, check: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the items that share a key.
 
-    keys: (key, id, ...). Within a key no item meets all others: each meets two
-    hubs, the item that shares keys with most others, and one drawn by a hash
-    of key and id. Both are found by aggregates that combine before the
-    shuffle, so the work is linear in the rows whatever a key's share of them
-    is. As each item has many keys with hubs of their own, a link that one
-    key's hubs leave out is found by another or by way of a hub.
+    keys: (key, id, own); check tells from the own of both whether a pair may
+    stay. Within a key no item meets all others: each meets two hubs, the item
+    that shares keys with most others, and one drawn by a hash of key and id.
+    Both are found by aggregates that combine before the shuffle, so the work
+    is linear in the rows whatever a key's share of them is. As each item has
+    many keys with hubs of their own, a link that one key's hubs leave out is
+    found by another or by way of a hub.
     """
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialise(keys.join(sizes, "key"))
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
-    ranked = shared.select("key", "id").join(degree, "id")
+    ranked = shared.select("key", "id", "own").join(degree, "id")
     hubs = (
         ranked.groupBy("key")
         .agg(
-            F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("top"),
-            F.min(F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("id"))).alias("drawn"),
+            F.max(F.struct("degree", F.col("id").alias("hub"), "own")).alias("top"),
+            F.min(F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("hub"), "own")).alias("drawn"),
         )
-        .select("key", F.array((-F.col("top.neg")), F.col("drawn.id")).alias("hubs"))
+        .select("key", F.array(F.struct("top.hub", "top.own"), F.struct("drawn.hub", "drawn.own")).alias("hubs"))
     )
-    pairs = shared.join(hubs, "key")
-    pairs = pairs.select("id", F.explode("hubs").alias("hub")).where("id <> hub")
-    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    pairs = shared.join(hubs, "key").select("id", "own", F.explode("hubs").alias("other")).where("id <> other.hub")
+    if check is not None:
+        pairs = pairs.where(check(F.col("own"), F.col("other.own")))
+    return pairs.select(F.least("id", "other.hub").alias("a"), F.greatest("id", "other.hub").alias("b")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -218,5 +219,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
-
-LONG, STRING = T.LongType(), T.StringType()
