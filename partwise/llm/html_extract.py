@@ -182,7 +182,7 @@ def described(text: str, stack: list[Node], linked: float) -> Block:
     features.add(f"tag:{'h' if inner in HEAD_TAGS else inner}")
     features.add(f"frame:{inner_frame}")
     if inner_hint:
-        features.add(f"near:{inner_hint}")
+        features.add(f"near{inner_hint[4:]}")
     n = len(text)
     features.add(f"long:{min(6, int(math.log2(n / 8 + 1)))}")
     features.add(f"link:{min(4, int(min(1.0, linked) * 4.999))}")
@@ -288,7 +288,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
         menu = lambda: rng.choice([el("nav", f"<ul>{links(rng.randint(2, 8))}</ul>", "", 0), el("div", f"<ul>{links(5)}</ul>", cls("menu") or "menu", 0), el("nav", words(1, 9), cls("menu"), 0)])
         head = lambda: rng.choice([el("header", f"<h1>{words(1, 3)}</h1>" + maybe(0.5, menu), "", 0), el("div", f"<p>{words(1, 6)}</p>", cls("head") or "header", 0)])
         foot = lambda: rng.choice([el("footer", f"&copy; {words(1, 4)} &middot; {prose()}", "", 0), el("footer", f"<p>{prose()}</p><ul>{links(3)}</ul>", "", 0), el("div", f"<p>{words(2, 9)}</p>", cls("foot") or "footer", 0)])
-        body = maybe(0.4, head) + maybe(0.8, menu) + maybe(0.3, notice) + maybe(0.4, ad) + maybe(0.15, form)
+        bare = rng.random() < 0.25
+        body = "" if bare else maybe(0.4, head) + maybe(0.8, menu) + maybe(0.3, notice) + maybe(0.4, ad) + maybe(0.15, form)
         body += article() + maybe(0.35, comments) + maybe(0.4, side) + maybe(0.3, ad) + maybe(0.15, share) + maybe(0.1, notice) + maybe(0.85, foot)
         if rng.random() < 0.3:
             body = el("div", body, rng.choice(["wrap", "page", "container"]))
