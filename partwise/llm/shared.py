@@ -166,8 +166,14 @@ def star_pairs(keys: DataFrame, check: Callable[[Column, Column], Column] | None
     many keys with hubs of their own, a link that one key's hubs leave out is
     found by another or by way of a hub.
     """
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialise(keys.join(sizes, "key"))
+    item = F.struct("id", "own")
+    sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("size"), F.min(item).alias("lo"), F.max(item).alias("hi")).where("size > 1"))
+    # A key of two items, the usual case, has its pair at once.
+    two = sizes.where("size = 2 AND lo.id <> hi.id")
+    if check is not None:
+        two = two.where(check(F.col("lo.own"), F.col("hi.own")))
+    two = two.select(F.col("lo.id").alias("a"), F.col("hi.id").alias("b"))
+    shared = materialise(keys.join(sizes.where("size > 2").select("key", "size"), "key"))
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = shared.select("key", "id", "own").join(degree, "id")
     hubs = (
@@ -181,7 +187,7 @@ def star_pairs(keys: DataFrame, check: Callable[[Column, Column], Column] | None
     pairs = shared.join(hubs, "key").select("id", "own", F.explode("hubs").alias("other")).where("id <> other.hub")
     if check is not None:
         pairs = pairs.where(check(F.col("own"), F.col("other.own")))
-    return pairs.select(F.least("id", "other.hub").alias("a"), F.greatest("id", "other.hub").alias("b")).distinct()
+    return pairs.select(F.least("id", "other.hub").alias("a"), F.greatest("id", "other.hub").alias("b")).union(two).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
