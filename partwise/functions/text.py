@@ -33,27 +33,21 @@ def let(value: Column, body) -> Column:
 
 
 @cache
-def _folding() -> tuple[str, str, list[tuple[str, str]]]:
-    """Letters that lose an accent one to one, and those that become several characters; made from Unicode's decompositions."""
-    one, to, several = "", "", []
-    for point in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x2090), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
-        if plain == chr(point) or not plain:
-            continue
-        if len(plain) == 1:
-            one, to = one + chr(point), to + plain
-        else:
-            several.append((chr(point), plain))
-    return one, to, several
+def _folding() -> dict[str, str]:
+    """Letters and signs without their accents, made from Unicode's decompositions; combining marks fold to nothing."""
+    out = {}
+    for point in [*range(0xA0, 0x370), *range(0x1E00, 0x1F00), *range(0x2070, 0x2090), *range(0x20D0, 0x20F1), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        sign = chr(point)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(c))
+        if plain != sign:
+            out[sign] = plain
+    return out
 
 
 def strip_accents(c: Column) -> Column:
     """Letters without accents, ligatures and full-width forms apart; other scripts stay as they are."""
-    one, to, several = _folding()
-    out = F.translate(c, one, to)
-    for sign, plain in several:
-        out = F.replace(out, F.lit(sign), F.lit(plain))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, r"\p{M}+", "")).otherwise(c)
+    folded = F.array_join(F.transform(F.split(c, ""), lambda s: F.coalesce(F.try_element_at(mapping(_folding()), s), s)), "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def squeezed(c: Column) -> Column:
@@ -62,7 +56,7 @@ def squeezed(c: Column) -> Column:
 
 def basic(c: Column) -> Column:
     """Upper case without accents; separators and white space become one space. Null becomes ''."""
-    out = F.upper(strip_accents(F.coalesce(c.cast("string"), F.lit(""))))
+    out = F.upper(let(F.coalesce(c.cast("string"), F.lit("")), strip_accents))
     return squeezed(F.regexp_replace(F.replace(out, F.lit("×"), F.lit("X")), r"[,;|\t\n\r\\]+", " "))
 
 

@@ -42,21 +42,23 @@ def resolve(uom: Column, cleaned: Column) -> Column:
 
     Fields: code, dimension, qty_per_uom, base_code, is_pack, pack_source (explicit, default or ''), known.
     """
-    raw = X.basic(uom)
     bases = X.mapping(K.BASES)
-    unit, pack = F.try_element_at(_units(), raw), F.try_element_at(_packs(), raw)
-    content = pack_content(cleaned)
-    inner = F.try_element_at(_units(), X.basic(content["unit"]))
 
     def made(code: Column, dimension: Column, qty: Column, is_pack: bool, source: str, known: bool = True) -> Column:
         return F.struct(code.alias("code"), dimension.alias("dimension"), qty.alias("qty_per_uom"), F.element_at(bases, dimension).alias("base_code"), F.lit(is_pack).alias("is_pack"), F.lit(source).alias("pack_source"), F.lit(known).alias("known"))
 
-    return (
-        F.when(unit.isNotNull(), made(unit["code"], unit["dimension"], unit["factor"], False, ""))
-        .when(pack.isNotNull() & content.isNotNull(), made(F.coalesce(inner["code"], pack["unit"]), F.coalesce(inner["dimension"], pack["dimension"]), content["qty"] * F.coalesce(inner["factor"], F.lit(1.0)), True, "explicit"))
-        .when(pack.isNotNull(), made(pack["unit"], pack["dimension"], pack["qty"], True, "default"))
-        .otherwise(made(F.lit("C62"), F.lit("count"), F.lit(1.0), False, "", False))
-    )
+    def packed(v: Column) -> Column:
+        pack, content, inner = v["pack"], v["content"], v["inner"]
+        stated = made(F.coalesce(inner["code"], pack["unit"]), F.coalesce(inner["dimension"], pack["dimension"]), content["qty"] * F.coalesce(inner["factor"], F.lit(1.0)), True, "explicit")
+        return F.when(pack.isNotNull() & content.isNotNull(), stated).when(pack.isNotNull(), made(pack["unit"], pack["dimension"], pack["qty"], True, "default"))
+
+    def found(raw: Column) -> Column:
+        unit = X.let(F.try_element_at(_units(), raw), lambda u: F.when(u.isNotNull(), made(u["code"], u["dimension"], u["factor"], False, "")))
+        with_inner = lambda content: F.struct(F.try_element_at(_packs(), raw).alias("pack"), content.alias("content"), F.try_element_at(_units(), X.basic(content["unit"])).alias("inner"))
+        pack = X.let(X.let(pack_content(cleaned), with_inner), packed)
+        return F.coalesce(unit, pack, made(F.lit("C62"), F.lit("count"), F.lit(1.0), False, "", False))
+
+    return X.let(X.basic(uom), found)
 
 
 def base_price(price: Column, unit: Column) -> Column:

@@ -51,14 +51,35 @@ MEMBERS = MAT + f"members AS (SELECT *, CAST(item AS VARCHAR) AS nmc, id AS memb
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The material view with its true item as the code of each row."""
+    """The material view with its true item as the code of each row, written once."""
     m = material(spark, sf_dir).withColumn("own_clean", X.clean(F.col("description")))
     m = m.withColumn("unit", U.resolve(F.col("uom"), F.col("own_clean"))).withColumn("base_price", U.base_price(F.col("unit_price"), F.col("unit")))
-    return m.withColumn("nmc", F.col("item").cast("string")).withColumn("member", F.col("id"))
+    return _once(spark, sf_dir, "members", lambda: m.withColumn("nmc", F.col("item").cast("string")).withColumn("member", F.col("id")))
+
+
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical records, written: a filter or an explode over the long expressions of canonicalise would be pushed through, and repeat, them."""
+    return _once(spark, sf_dir, "canonical", lambda: E.canonicalise(material(spark, sf_dir)))
+
+
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that several queries share, written once per application and input."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _WRITTEN:
+        _WRITTEN[at] = G.materialise(make())
+    return _WRITTEN[at]
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.with_keys(E.canonicalise(material(spark, sf_dir)))
+    return _once(spark, sf_dir, "records", lambda: B.with_keys(canonical(spark, sf_dir)))
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The material view with its identity keys only."""
+    return G.materialise(material(spark, sf_dir).withColumn("keys", B.identity_keys()))
 
 
 def close_pairs(spark: SparkSession, recs: DataFrame) -> DataFrame:
@@ -216,18 +237,18 @@ def ext_size(spark, d):
 @query()
 def ext_attributes(spark, d):
     """Every attribute of every record with its provenance."""
-    return E.trace(E.canonicalise(material(spark, d)))
+    return E.trace(canonical(spark, d))
 
 
 @query()
 def ext_coverage(spark, d):
-    c = E.canonicalise(material(spark, d))
+    c = canonical(spark, d)
     return c.select("id", "class_code", "coverage", F.array_join(E.missing_mandatory(F.col("class_code"), F.col("attributes")), ",").alias("missing"), F.array_join(E.residue(F.col("class_code"), F.col("normal"), F.col("attributes")), " ").alias("residue"))
 
 
 @query()
 def render_golden(spark, d):
-    c = E.canonicalise(material(spark, d))
+    c = canonical(spark, d)
     code, a = F.col("class_code"), F.col("attributes")
     return c.select("id", E.golden_description(code, a).alias("golden"), E.short_description(code, a).alias("short"), E.golden_description(code, a, E.HINDI).alias("hindi"))
 
@@ -287,19 +308,17 @@ KEYS = MAT + (
 
 @query(KEYS + "SELECT a_id, b_id, string_agg(DISTINCT left(key, 3), ',' ORDER BY left(key, 3)) AS strategies FROM p GROUP BY a_id, b_id")
 def blk_identity(spark, d):
-    keyed = material(spark, d).withColumn("keys", B.identity_keys())
-    return B.key_pairs(keyed).select("a_id", "b_id", F.array_join("strategies", ",").alias("strategies"))
+    return B.key_pairs(keyed(spark, d)).select("a_id", "b_id", F.array_join("strategies", ",").alias("strategies"))
 
 
 @query(KEYS + "SELECT left(key, 3) AS strategy, count(DISTINCT (a_id, b_id)) AS pairs FROM p GROUP BY 1")
 def blk_strategy_mix(spark, d):
-    return B.strategy_mix(B.key_pairs(material(spark, d).withColumn("keys", B.identity_keys())))
+    return B.strategy_mix(B.key_pairs(keyed(spark, d)))
 
 
 @query(KEYS + "SELECT id, substr(sha256('s|' || key), 1, 24) AS h FROM k")
 def blk_hashed(spark, d):
-    keyed = material(spark, d).withColumn("keys", B.identity_keys())
-    return keyed.select("id", F.explode(B.hashed_keys("s")).alias("h"))
+    return keyed(spark, d).select("id", F.explode(B.hashed_keys("s")).alias("h"))
 
 
 @query(
@@ -307,7 +326,7 @@ def blk_hashed(spark, d):
     + ", t AS (SELECT a.id AS a_id, b.id AS b_id FROM m a JOIN m b ON a.item = b.item AND a.id < b.id AND a.cpse_code <> b.cpse_code), f AS (SELECT DISTINCT a_id, b_id FROM p) SELECT count(*) AS truth, count(f.a_id) AS found, round(count(f.a_id) / count(*)::DOUBLE, 6) AS recall FROM t LEFT JOIN f USING (a_id, b_id)"
 )
 def blk_recall(spark, d):
-    m = material(spark, d).withColumn("keys", B.identity_keys())
+    m = keyed(spark, d)
     a, b = (m.select("item", F.col("id").alias(f"{c}_id"), F.col("cpse_code").alias(f"o{c}")) for c in "ab")
     truth = a.join(b, "item").where("a_id < b_id AND oa <> ob")
     return B.recall(B.key_pairs(m), truth)
@@ -371,8 +390,8 @@ def vec_cutoff(spark, d):
 
 
 def _judged(spark, d) -> DataFrame:
-    recs = G.materialise(records(spark, d))
-    return H.verdicts(close_pairs(spark, recs), recs)
+    recs = records(spark, d)
+    return _once(spark, d, "judged", lambda: H.verdicts(close_pairs(spark, recs), recs))
 
 
 @query()
@@ -417,16 +436,16 @@ def lab_positive(spark, d):
 
 @query()
 def lab_negative(spark, d):
-    recs = G.materialise(records(spark, d))
+    recs = records(spark, d)
     positive = G.materialise(M.positives(recs))
-    judged = H.verdicts(close_pairs(spark, recs), recs)
+    judged = _judged(spark, d)
     return M.hard_negatives(judged, positive).unionByName(M.easy_negatives(recs, positive))
 
 
 @query()
 def fit_scorer(spark, d):
-    recs = G.materialise(records(spark, d))
-    judged = H.verdicts(close_pairs(spark, recs), recs)
+    recs = records(spark, d)
+    judged = _judged(spark, d)
     _, weights, _ = H.training(judged, recs)
     return spark.createDataFrame([(n, float(w), float(p)) for (n, p), w in zip(M.PRIORS.items(), weights, strict=True)], "feature string, weight double, prior double")
 
@@ -454,8 +473,8 @@ def clu_components(spark, d):
 
 
 def _clusters(spark, d) -> tuple[DataFrame, DataFrame]:
-    recs = G.materialise(records(spark, d))
-    judged = H.verdicts(close_pairs(spark, recs), recs)
+    recs = records(spark, d)
+    judged = _judged(spark, d)
     same = judged.where("relation IN ('IDENTICAL', 'EQUIVALENT')").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("score", 9).alias("weight"))
     apart = judged.where("relation = 'DISTINCT'").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return recs, G.materialise(G.cluster(recs, same, cannot=apart))
@@ -575,12 +594,12 @@ def led_projection_diff(spark, d):
 
 @query(MAT.rstrip(", ") + " SELECT CASE item % 4 WHEN 0 THEN 'BEARING' WHEN 1 THEN 'FASTENER_BOLT' WHEN 2 THEN 'PIPE' ELSE 'VALVE' END AS class_code, count(*) AS records FROM m GROUP BY 1")
 def an_by_class(spark, d):
-    return A.by_class(E.canonicalise(material(spark, d))).select("class_code", "records")
+    return A.by_class(canonical(spark, d)).select("class_code", "records")
 
 
 @query(MAT.rstrip(", ") + " SELECT cpse_code, count(*) AS records, count(*) AS active, CAST(0 AS BIGINT) AS quarantine, CAST(0 AS BIGINT) AS excluded FROM m GROUP BY 1")
 def an_by_org(spark, d):
-    return A.by_organisation(E.canonicalise(material(spark, d)))
+    return A.by_organisation(canonical(spark, d))
 
 
 @query(MEMBERS.rstrip(", ") + " SELECT CAST(item % 4 AS INT) AS class_code, count(*) AS members, count(DISTINCT nmc) AS codes, round(1 - count(DISTINCT nmc) / count(*)::DOUBLE, 4) AS duplicate_rate FROM members GROUP BY 1")
@@ -645,9 +664,9 @@ def ec_value_model(spark, d):
 
 @query()
 def svc_dup_check(spark, d):
-    recs = G.materialise(records(spark, d))
-    keyed = recs.withColumn("keys", F.filter("keys", lambda k: ~F.startswith(k, F.lit("tok:"))))
-    return S.duplicate_check(keyed.where("id % 50 = 0"), keyed)
+    recs = records(spark, d)
+    known = recs.withColumn("keys", F.filter("keys", lambda k: ~F.startswith(k, F.lit("tok:"))))
+    return S.duplicate_check(known.where("id % 50 = 0"), known)
 
 
 @query(MEMBERS + "i AS (SELECT * FROM members WHERE nmc = '7' AND stock_qty > 0 AND last_movement_days >= 365 AND cpse_code <> 'ORG01'), p AS (SELECT avg(base_price) AS price FROM members WHERE nmc = '7') SELECT count(*) AS offers, coalesce(sum(stock_qty), 0)::DOUBLE AS available, least(coalesce(sum(stock_qty), 0), 100)::DOUBLE AS covered FROM i")
@@ -672,7 +691,7 @@ def fed_redact(spark, d):
 
 @query(KEYS + ", a AS (SELECT DISTINCT key FROM k WHERE cpse_code = 'ORG00'), b AS (SELECT DISTINCT key FROM k WHERE cpse_code = 'ORG05') SELECT (SELECT count(*) FROM a JOIN b USING (key)) AS shared, (SELECT count(*) FROM a WHERE key NOT IN (SELECT key FROM b)) AS only_a, (SELECT count(*) FROM b WHERE key NOT IN (SELECT key FROM a)) AS only_b")
 def fed_psi(spark, d):
-    k = material(spark, d).select("cpse_code", F.explode(B.identity_keys()).alias("key"))
+    k = keyed(spark, d).select("cpse_code", F.explode("keys").alias("key"))
     return D.overlap(D.offer(k.where("cpse_code = 'ORG00'"), "salt"), D.offer(k.where("cpse_code = 'ORG05'"), "salt"))
 
 

@@ -31,7 +31,7 @@ class Harmonised:
 
 def records_of(items: DataFrame, lexicon: X.Lexicon | None = None) -> DataFrame:
     """Canonical records with keys, written once."""
-    return G.materialise(B.with_keys(E.canonicalise(items, lexicon)))
+    return G.materialise(B.with_keys(G.materialise(E.canonicalise(items, lexicon))))
 
 
 def verdicts(pairs: DataFrame, records: DataFrame, weights: list[float] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from partwise.operators import blocking as B
 from partwise.operators import extract as E
 from partwise.operators import service as S
+from partwise.operators.graph import materialise
 
 
 def canonical_stream(items: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def canonical_stream(items: DataFrame) -> DataFrame:
 def check_stream(items: DataFrame, registry: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Check each micro-batch of new items against the registry and append the matches; a batch that is run again overwrites its own files."""
     def each(batch: DataFrame, number: int) -> None:
-        asked = B.with_keys(E.canonicalise(batch))
+        asked = materialise(B.with_keys(materialise(E.canonicalise(batch))))
         S.duplicate_check(asked, registry).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return items.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
