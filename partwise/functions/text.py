@@ -117,11 +117,13 @@ def normalise(c: Column, lexicon: Lexicon | None = None) -> Column:
 def char_ngrams(c: Column, lo: int = 3, hi: int = 5) -> Column:
     """All n-grams of lo to hi characters of the text between two spaces, repeats kept."""
     padded = F.concat(F.lit(" "), c, F.lit(" "))
-    parts = []
-    for n in range(lo, hi + 1):
+
+    def of_size(n: int) -> Column:
         last = F.length(padded) - n + 1
-        parts.append(F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*parts))
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[of_size(n) for n in range(lo, hi + 1)]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

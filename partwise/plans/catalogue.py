@@ -262,10 +262,10 @@ _FAMILIES = ", ".join(f"('{f}')" for f in K.FAMILIES)
 @query(
     f"WITH RECURSIVE link(a, b) AS (SELECT * FROM (VALUES {_LINKS}) t(a, b) UNION ALL SELECT b, a FROM (VALUES {_LINKS}) t(a, b)), fam(f) AS (SELECT * FROM (VALUES {_FAMILIES}) t(f)),"
     " walk(a, b, n) AS (SELECT f, f, 0 FROM fam UNION ALL SELECT w.a, l.b, w.n + 1 FROM walk w JOIN link l ON l.a = w.b WHERE w.n < 3), best AS (SELECT a, b, min(n) AS n FROM walk GROUP BY a, b)"
-    " SELECT x.f AS fa, y.f AS fb, CASE WHEN x.f = y.f THEN 'IDENTICAL' WHEN n IS NULL THEN 'CONFLICT' ELSE 'EQUIVALENT' END AS relation, CAST(n AS INT) AS hops FROM fam x CROSS JOIN fam y LEFT JOIN best ON best.a = x.f AND best.b = y.f"
+    " SELECT x.f AS fa, y.f AS fb, CASE WHEN x.f = y.f THEN 'IDENTICAL' WHEN n IS NULL THEN 'CONFLICT' ELSE 'EQUIVALENT' END AS relation, CAST(coalesce(n, -1) AS INT) AS hops FROM fam x CROSS JOIN fam y LEFT JOIN best ON best.a = x.f AND best.b = y.f"
 )
 def kg_closure(spark, d):
-    return kg.material_table(spark).select("fa", "fb", "relation", "hops")
+    return kg.material_table(spark).select("fa", "fb", "relation", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
 @query()
@@ -464,7 +464,7 @@ def conf_thresholds(spark, d):
 # --- clusters and registry ---------------------------------------------------
 
 
-@query("WITH RECURSIVE up(id, at) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT id, at // 2 FROM up WHERE at % 5 <> 0 AND at > 1) SELECT id, min(at) AS root FROM up GROUP BY id")
+@query("WITH RECURSIVE up(id, spot) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT id, spot // 2 FROM up WHERE spot % 5 <> 0 AND spot > 1) SELECT id, min(spot) AS root FROM up GROUP BY id")
 def clu_components(spark, d):
     """Components of the graph that links each part to that of half its number, but for multiples of five."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
@@ -625,12 +625,12 @@ def an_value_curve(spark, d):
     return A.value_curve(o).select("bucket", "reviewed", "spend")
 
 
-PAIRS = MEMBERS + "p AS (SELECT a.nmc, round(least(a.stock_qty, b.annual_demand) * b.base_price, 2) AS value FROM members a JOIN members b ON a.nmc = b.nmc AND a.cpse_code <> b.cpse_code WHERE a.stock_qty > 0 AND a.last_movement_days >= 365 AND b.annual_demand > 0) "
+PAIRS = MEMBERS + "p AS (SELECT a.nmc, least(a.stock_qty, b.annual_demand) * b.base_price AS value FROM members a JOIN members b ON a.nmc = b.nmc AND a.cpse_code <> b.cpse_code WHERE a.stock_qty > 0 AND a.last_movement_days >= 365 AND b.annual_demand > 0) "
 
 
 @query(PAIRS + "SELECT nmc, count(*) AS offers, sum(CAST(value AS DECIMAL(38, 6)))::DOUBLE AS value FROM p WHERE value > 0 GROUP BY nmc")
 def ec_redeploy(spark, d):
-    return A.redeployment(members(spark, d)).groupBy("nmc").agg(F.count("*").alias("offers"), F.sum(A.money(F.col("value"))).cast("double").alias("value"))
+    return A.redeployment(members(spark, d)).groupBy("nmc").agg(F.count("*").alias("offers"), F.sum(A.money(F.col("qty") * F.col("price"))).cast("double").alias("value"))
 
 
 POOL = "o AS (SELECT nmc, cpse_code, sum(CAST(stock_qty * base_price AS DECIMAL(38, 6))) AS v FROM members WHERE stock_qty > 0 GROUP BY 1, 2), h AS (SELECT nmc, count(*) AS locations, sum(v)::DOUBLE AS c FROM o GROUP BY nmc HAVING count(*) >= 2) "

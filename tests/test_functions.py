@@ -39,6 +39,7 @@ def test_jaccard(spark):
     assert one(spark, X.jaccard(a(), a())) == 1.0
     assert one(spark, X.jaccard(a("x"), a())) == 0.0
     assert one(spark, X.jaccard(a("x", "y", "y"), a("y", "z"))) == 1 / 3
+    assert one(spark, X.char_ngrams(F.lit("ab"), 3, 5)) == [" ab", "ab ", " ab "]
     assert one(spark, X.fraction(F.lit("1 1/2"))) == 1.5
     assert one(spark, X.number(F.lit(60.0))) == "60"
 
