@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwise.functions import codes as Z
@@ -82,10 +82,22 @@ def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.materialise(material(spark, sf_dir).withColumn("keys", B.identity_keys()))
 
 
-def close_pairs(spark: SparkSession, recs: DataFrame) -> DataFrame:
-    """Pairs of different organisations that share the keys that a solver is mostly asked about: identity keys, and all blocking attributes."""
+def spec_key() -> Column:
+    """One value for all records of a class whose attributes have the same values."""
+    said = F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"])))
+    return F.concat_ws("|", "class_code", F.array_join(said, ";"))
+
+
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the records that say the same one, that with the smallest id; the others are its members by spec."""
+    recs = records(spark, sf_dir).withColumn("spec", spec_key())
+    return _once(spark, sf_dir, "representatives", lambda: recs.join(recs.groupBy("spec").agg(F.min("id").alias("id")).select("id"), "id", "left_semi"))
+
+
+def close_pairs(recs: DataFrame) -> DataFrame:
+    """Pairs of representatives that share the keys that a solver is mostly asked about: identity keys, and all blocking attributes."""
     some = recs.withColumn("keys", F.filter("keys", lambda k: k.rlike("^(mpn|vmn|blk):")))
-    return G.materialise(B.key_pairs(some))
+    return G.materialise(B.key_pairs(G.materialise(some), across=False))
 
 
 # --- sources and text --------------------------------------------------------
@@ -390,8 +402,9 @@ def vec_cutoff(spark, d):
 
 
 def _judged(spark, d) -> DataFrame:
-    recs = records(spark, d)
-    return _once(spark, d, "judged", lambda: H.verdicts(close_pairs(spark, recs), recs))
+    """Verdicts on pairs of representatives: what holds for them holds for the records that say the same."""
+    recs = representatives(spark, d)
+    return _once(spark, d, "judged", lambda: H.verdicts(close_pairs(recs), recs))
 
 
 @query()
@@ -417,10 +430,8 @@ def dec_tier(spark, d):
 
 @query()
 def sub_edges(spark, d):
-    """Directed edges among pipes: those of one size and material that differ in schedule."""
-    recs = G.materialise(records(spark, d).where("class_code = 'PIPE'").withColumn("keys", F.filter("keys", lambda k: F.startswith(k, F.lit("blk:")))))
-    judged = H.verdicts(G.materialise(B.key_pairs(recs)), recs)
-    return M.substitutions(judged).select("from_id", "to_id", F.round("score", 6).alias("score"))
+    """Directed edges between representatives, such as pipes that differ in schedule only."""
+    return M.substitutions(_judged(spark, d)).select("from_id", "to_id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -436,9 +447,8 @@ def lab_positive(spark, d):
 
 @query()
 def lab_negative(spark, d):
-    recs = records(spark, d)
+    recs, judged = records(spark, d), _judged(spark, d)
     positive = G.materialise(M.positives(recs))
-    judged = _judged(spark, d)
     return M.hard_negatives(judged, positive).unionByName(M.easy_negatives(recs, positive))
 
 
@@ -473,11 +483,17 @@ def clu_components(spark, d):
 
 
 def _clusters(spark, d) -> tuple[DataFrame, DataFrame]:
-    recs = records(spark, d)
-    judged = _judged(spark, d)
+    """Records and their clusters: representatives are clustered, and each record goes with the one that says the same."""
+    recs, judged = records(spark, d).withColumn("spec", spec_key()), _judged(spark, d)
     same = judged.where("relation IN ('IDENTICAL', 'EQUIVALENT')").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("score", 9).alias("weight"))
     apart = judged.where("relation = 'DISTINCT'").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return recs, G.materialise(G.cluster(recs, same, cannot=apart))
+    reps = representatives(spark, d)
+
+    def all_records() -> DataFrame:
+        found = reps.select("id", "spec").join(G.cluster(reps, same, cannot=apart), "id").select("spec", "cluster_id")
+        return recs.select("id", "spec").join(found, "spec").select("id", "cluster_id")
+
+    return recs, _once(spark, d, "clusters", all_records)
 
 
 @query()
@@ -488,7 +504,7 @@ def clu_pivot(spark, d):
 @query()
 def clu_purity(spark, d):
     recs, clusters = _clusters(spark, d)
-    return G.purity(clusters, recs.select("id", F.concat_ws("|", "class_code", F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"]))), ";")).alias("label")))
+    return G.purity(clusters, recs.select("id", F.col("spec").alias("label")))
 
 
 @query()
@@ -664,9 +680,8 @@ def ec_value_model(spark, d):
 
 @query()
 def svc_dup_check(spark, d):
-    recs = records(spark, d)
-    known = recs.withColumn("keys", F.filter("keys", lambda k: ~F.startswith(k, F.lit("tok:"))))
-    return S.duplicate_check(known.where("id % 50 = 0"), known)
+    known = representatives(spark, d).withColumn("keys", F.filter("keys", lambda k: ~F.startswith(k, F.lit("tok:"))))
+    return S.duplicate_check(records(spark, d).where("id % 50 = 0"), known)
 
 
 @query(MEMBERS + "i AS (SELECT * FROM members WHERE nmc = '7' AND stock_qty > 0 AND last_movement_days >= 365 AND cpse_code <> 'ORG01'), p AS (SELECT avg(base_price) AS price FROM members WHERE nmc = '7') SELECT count(*) AS offers, coalesce(sum(stock_qty), 0)::DOUBLE AS available, least(coalesce(sum(stock_qty), 0), 100)::DOUBLE AS covered FROM i")
@@ -733,7 +748,7 @@ def st_ledger_fold(spark, d):
 @query()
 def st_dup_check(spark, d):
     """New items as a stream of files, each micro-batch held against the registry."""
-    recs = G.materialise(records(spark, d).withColumn("keys", F.filter("keys", lambda k: k.rlike("^(mpn|vmn|blk):"))))
+    recs = G.materialise(representatives(spark, d).withColumn("keys", F.filter("keys", lambda k: k.rlike("^(mpn|vmn|blk):"))))
     new = material(spark, d).where("id % 50 = 0")
     path = _as_files(new, 2)
     live.check_stream(spark.readStream.schema(new.schema).parquet(path), recs, f"{path}-out", f"{path}-check").awaitTermination()
