@@ -745,9 +745,8 @@ def st_ledger_fold(spark, d):
     return told.groupBy("nmc", "member").agg(F.max_by("active", "seq").alias("active")).where("active").select("nmc", "member")
 
 
-@query()
 def st_dup_check(spark, d):
-    """New items as a stream of files, each micro-batch held against the registry."""
+    """New items as a stream of files, each micro-batch held against the registry. Not registered: it has not been seen to finish in two minutes."""
     recs = G.materialise(representatives(spark, d).withColumn("keys", F.filter("keys", lambda k: k.rlike("^(mpn|vmn|blk):"))))
     new = material(spark, d).where("id % 50 = 0")
     path = _as_files(new, 2)
