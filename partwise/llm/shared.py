@@ -158,21 +158,22 @@ def word_chunks(column: pa.Array) -> Iterator[Words]:
 def star_pairs(keys: DataFrame, check: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the items that share a key.
 
-    keys: (key, id, own); check tells from the own of both whether a pair may
-    stay. Within a key no item meets all others: each meets two hubs, the item
+    keys: (key, id, own), longs; check tells from the own of both, in whichever
+    order, whether a pair may stay. Within a key no item meets all others: each meets two hubs, the item
     that shares keys with most others, and one drawn by a hash of key and id.
     Both are found by aggregates that combine before the shuffle, so the work
     is linear in the rows whatever a key's share of them is. As each item has
     many keys with hubs of their own, a link that one key's hubs leave out is
     found by another or by way of a hub.
     """
-    item = F.struct("id", "own")
-    sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("size"), F.min(item).alias("lo"), F.max(item).alias("hi")).where("size > 1"))
-    # A key of two items, the usual case, has its pair at once.
-    two = sizes.where("size = 2 AND lo.id <> hi.id")
+    # Aggregates of plain longs only, so that keys are hashed and not sorted.
+    ends = [f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("id", "own")]
+    sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("size"), *ends).where("size > 1"))
+    # A key of two items, the usual case, has its pair at once; check is symmetric, so it does not matter whose own is the least.
+    two = sizes.where("size = 2 AND least_id <> most_id")
     if check is not None:
-        two = two.where(check(F.col("lo.own"), F.col("hi.own")))
-    two = two.select(F.col("lo.id").alias("a"), F.col("hi.id").alias("b"))
+        two = two.where(check(F.col("least_own"), F.col("most_own")))
+    two = two.select(F.col("least_id").alias("a"), F.col("most_id").alias("b"))
     shared = materialise(keys.join(sizes.where("size > 2").select("key", "size"), "key"))
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = shared.select("key", "id", "own").join(degree, "id")
