@@ -278,3 +278,53 @@ def test_line_dedup(spark):
     assert dropped[1] == [] and all(1 in dropped[i] for i in range(2, 30)) and all(2 not in v for v in dropped.values())
     texts = {r.doc_id: r.text for r in line_dedup.without_lines(d, got).collect()}
     assert texts[1] == rows[0][1] and "stands in many" not in texts[7] and texts[7].endswith("short")
+
+
+def test_edit_distance_against_the_plain_table():
+    def distance(s, t):
+        row = list(range(len(t) + 1))
+        for i, c in enumerate(s, 1):
+            new = [i]
+            for j, d in enumerate(t, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abé日") for _ in range(rng.randrange(14)))
+    for _ in range(1500):
+        s = word()
+        k = rng.randrange(len(s) + 1)
+        t = rng.choice([word(), s[:k] + rng.choice(["", "a", "bb"]) + s[k + rng.randrange(2) :]])
+        d = distance(s, t)
+        assert all(line_dedup.within(s, t, m) == (d <= m) for m in {max(0, d - 1), d, d + 1, 3})
+
+
+def test_sim_hash_of_long_and_short_texts():
+    texts = [" ".join(f"w{k * n}" for k in range(n)) for n in (0, 1, 2, 254, 255, 256, 510, 511, 1500)]
+    words = next(word_chunks(pa.array(texts)))
+    got = line_dedup.sim_hashes(words)
+    for i in range(words.n):
+        h = words.hashes[words.bounds[i] : words.bounds[i + 1]]
+        want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
+        assert want == int(got[i])
+
+
+@pytest.mark.parametrize("most", [2, 6, 128])
+def test_close_pairs_against_all_pairs(spark, most):
+    """Keys of chance and keys of near copies: with keys up to most nothing is missed, beyond it groups stay whole."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 40)
+    sims = []
+    for b in base.tolist():
+        for _ in range(int(rng.integers(1, 5))):
+            v = b
+            for bit in rng.choice(63, int(rng.integers(0, 4)), replace=False).tolist():
+                v ^= 1 << bit
+            sims.append(v)
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(sims)], "id long, sim long")
+    keys = lines.select(F.explode(line_dedup.block_keys(F.col("sim"), 3, 5)).alias("key"), "id", F.col("sim").alias("own"))
+    got = {(r.a, r.b) for r in line_dedup.close_pairs(keys, 3, most).collect()}
+    want = {(i, j) for j in range(len(sims)) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= 3}
+    assert got <= want and (most < 128 or got == want)
+    assert len(got) > len(base) // 2
