@@ -191,6 +191,92 @@ def star_pairs(keys: DataFrame, check: Callable[[Column, Column], Column] | None
     return pairs.select(F.least("id", "other.hub").alias("a"), F.greatest("id", "other.hub").alias("b")).union(two).distinct()
 
 
+def met(shared: DataFrame, most: int, *own: str) -> DataFrame:
+    """Groups (items: structs of side, id and the columns own) in which all items of each key of shared (key, size, id) meet.
+
+    A key of more than most items is dealt into blocks; each block meets itself
+    and every other block in groups of their own. side is -1 where all items of
+    the group are to meet, otherwise the block: 0 is to meet 1.
+    """
+    blocks = F.ceil(F.col("size") / F.lit(most))
+    dealt = shared.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), "_blocks"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), -1).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
+    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).withColumn("side", side)
+    return dealt.groupBy("key", "_i", "_j").agg(F.collect_list(F.struct("side", "id", *own)).alias("items")).select("items")
+
+
+def meeting(groups: DataFrame, check: Callable[[list[pa.Array]], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of the ids that met lets meet and check keeps: a function of the own columns that tells from places x and y which pairs stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(0)
+            if not len(items):
+                continue
+            bounds, values = items.offsets.to_numpy().astype(np.int64), items.values
+            side, ids = values.field(0).to_numpy(), values.field(1).to_numpy()
+            stays = check([values.field(i) for i in range(2, values.type.num_fields)])
+            end = np.repeat(bounds[1:], np.diff(bounds))
+            left = np.arange(bounds[0], bounds[-1])
+            found, waiting, step = [np.zeros((0, 2), np.int64)], 0, 1
+            while len(left := left[left + step < end[left - bounds[0]]]):
+                x = left[(side[left] < 0) | (side[left] != side[left + step])]
+                x = x[ids[x] != ids[x + step]]
+                x = x[stays(x, x + step)]
+                found.append(np.stack([np.minimum(ids[x], ids[x + step]), np.maximum(ids[x], ids[x + step])], axis=1))
+                waiting, step = waiting + len(x), step + 1
+                if waiting > 1 << 20:
+                    yield pair_batch(found)
+                    found, waiting = [np.zeros((0, 2), np.int64)], 0
+            yield pair_batch(found)
+
+    return groups.mapInArrow(run, "a long, b long").distinct()
+
+
+def pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def linked(keys: DataFrame, most: int, own: tuple[str, ...], check: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that verify keeps of the pairs of items of keys (key, id, own columns) that share a key and that check lets pass.
+
+    All pairs of keys of at most most items are verified. In larger keys each
+    item first meets two hubs (star_pairs); then all items meet whose components
+    differ after that, so no component depends on hubs. Pairs that are in one
+    component already, of large keys only, may go unverified.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialise(keys.join(sizes, "key"))
+    small = meeting(met(shared.where(F.col("size") <= most), most, *own), check)
+    large = shared.where(F.col("size") > most)
+    hubs = star_pairs(large.select("key", "id", F.lit(None).cast("long").alias("own")))
+    tried = materialise(small.union(hubs).distinct())
+    links = materialise(verify(tried))
+    apart = across(large, components(links))
+    more = materialise(meeting(met(apart, 8 * most, "root", *own), lambda c: other_roots(c[0], check(c[1:]))).join(tried, ["a", "b"], "left_anti"))
+    return materialise(links.union(verify(more)))
+
+
+def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared with the root of each id; only keys whose ids have different roots."""
+    rooted = materialise(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    return rooted.join(rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l <> _m").select("key"), "key", "left_semi")
+
+
+def other_roots(root: pa.Array, stays: Callable) -> Callable:
+    """stays for pairs of different roots; the others do not stay."""
+    root = root.to_numpy()
+
+    def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = root[x] != root[y]
+        out[out] = stays(x[out], y[out])
+        return out
+
+    return both
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id of the connected component of each id in edges (a, b).
 

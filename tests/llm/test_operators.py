@@ -328,3 +328,33 @@ def test_close_pairs_against_all_pairs(spark, most):
     want = {(i, j) for j in range(len(sims)) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= 3}
     assert got <= want and (most < 128 or got == want)
     assert len(got) > len(base) // 2
+
+
+def test_lines_of_small_edits_are_found(spark):
+    """Recall of lines of edit similarity 0.9 or more: one letter, one word, and letters all over the line."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows, kinds = [], []
+    for n in (8, 15, 30, 60):
+        for _ in range(25):
+            base = [vocabulary[int(3000 * rng.random() ** 2)] for _ in range(n)]
+            for kind in ("letter", "word", "letters"):
+                line = list(" ".join(base))
+                if kind == "word":
+                    other = list(base)
+                    i = min(range(n), key=lambda k: len(base[k]))
+                    other[i] = "x" * len(base[i])
+                    line = list(" ".join(other))
+                else:
+                    for at in rng.sample([k for k, c in enumerate(line) if c != " "], 1 if kind == "letter" else int(0.08 * len(line))):
+                        line[at] = "q"
+                kinds.append((n, kind, line_dedup.within(" ".join(base), "".join(line), int(0.1 * len(line)))))
+                rows.append(" ".join(base) + "\n" + "".join(line))
+    # The first line of each document is a base; the second, its edited form, goes if the pair is found. No edit takes a word boundary.
+    got = {r.doc_id: r.dropped for r in line_dedup.line_dedup(docs(spark, list(enumerate(rows)))).collect()}
+    near = [(n, kind, 1 in got[i]) for i, (n, kind, close) in enumerate(kinds) if close]
+    assert len(near) > 250
+    for n in (8, 15, 30, 60):
+        for kind, least in (("letter", 1.0), ("word", 1.0), ("letters", 0.9)):
+            found = [x for m, k, x in near if (m, k) == (n, kind)]
+            assert sum(found) >= least * len(found), (n, kind, sum(found), len(found))
