@@ -358,3 +358,21 @@ def test_lines_of_small_edits_are_found(spark):
         for kind, least in (("letter", 1.0), ("word", 1.0), ("letters", 0.9)):
             found = [x for m, k, x in near if (m, k) == (n, kind)]
             assert sum(found) >= least * len(found), (n, kind, sum(found), len(found))
+
+
+@pytest.mark.parametrize("most", [2, 6, 40])
+def test_large_keys_lose_no_close_pair(spark, most):
+    """300 SimHashes in one key, far from each other but for planted pairs; whatever most is, all pairs are found."""
+    rng = np.random.default_rng(17)
+    sims = (rng.integers(0, 2**44, 300) << 18).tolist()
+    sims += [v ^ (1 << 20) ^ (1 << 40) for v in sims[:60]]
+    keys = spark.createDataFrame([(1, i, v) for i, v in enumerate(sims)], "key long, id long, own long")
+    want = {(i, j) for j in range(len(sims)) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= 3}
+    assert len(want) >= 60
+    assert {(r.a, r.b) for r in line_dedup.close_pairs(keys, 3, most).collect()} == want
+    # A family that is close to one base: all parts are shared by many.
+    base = int(rng.integers(0, 2**62))
+    family = sorted({base ^ (1 << i) ^ (1 << j) for i, j in rng.integers(0, 62, (120, 2)).tolist()})
+    keys = spark.createDataFrame([(1, i, v) for i, v in enumerate(family)], "key long, id long, own long")
+    want = {(i, j) for j in range(len(family)) for i in range(j) if (family[i] ^ family[j]).bit_count() <= 3}
+    assert {(r.a, r.b) for r in line_dedup.close_pairs(keys, 3, most).collect()} == want
