@@ -376,3 +376,9 @@ def test_large_keys_lose_no_close_pair(spark, most):
     keys = spark.createDataFrame([(1, i, v) for i, v in enumerate(family)], "key long, id long, own long")
     want = {(i, j) for j in range(len(family)) for i in range(j) if (family[i] ^ family[j]).bit_count() <= 3}
     assert {(r.a, r.b) for r in line_dedup.close_pairs(keys, 3, most).collect()} == want
+
+
+def test_the_query_drops_repeated_short_lines(spark, tmp_path):
+    rows = [(1, "Share this\nown words a\n\n---"), (2, "share  THIS!\nown words b\n\n---"), (3, "Home\nshare this page"), (4, "home")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.dropped for r in line_dedup.query(spark, str(tmp_path)).collect()} == {1: [], 2: [0], 3: [], 4: [0]}
