@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm.shared import Words, components, materialise, mix, star_pairs, table, typed, word_chunks
+from partwise.llm.shared import Words, components, linked, materialise, mix, table, typed, word_chunks
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,7 +146,17 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+def with_lists(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The pairs of classes with shingles and times of both, from the row of docs that stands for each class."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = classes.join(ids, "class", "left_semi").select(F.col("class_id").alias("_id"))
+    texts = typed(docs, doc_id="long", text="string")
+    lists = materialise(shingle_lists(texts.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"), k).join(ids, "class", "left_semi").dropDuplicates(["class"]))
+    side = lambda c, n: lists.select(F.col("class").alias(c), F.col("shingles").alias(f"s{n}"), F.col("times").alias(f"t{n}"))
+    return pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "s1", "t1", "s2", "t2")
+
+
+def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, most: int = 128) -> DataFrame:
     """Near duplicates of docs (doc_id, text), one row each: doc_id, class_id, cluster_id, n_links, kept.
 
     Shingles are k lower-case words, weighted by how often they occur; a text
@@ -156,11 +166,13 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int =
     similarity of its shingles, or the probability Jaccard similarity of their
     weights, both computed exactly, is threshold or more. cluster_id is the
     smallest doc_id of the connected classes, and that row is kept. n_links:
-    verified links of the class.
+    verified links of the class; pairs that only keys of more than most classes
+    hold may go unverified once they are in one cluster.
 
     With 20 bands of 4, a pair of similarity 0.8 shares no band with
-    probability 0.00003. Within a band a class meets hubs instead of all others
-    (star_pairs); a class is counted once however many rows it has.
+    probability 0.00003. In a band key of at most most classes all meet; in a
+    larger one all that two hubs do not link already (linked). A class is
+    counted once however many rows it has.
 
     Texts without words, null included, are clusters of their own. Rows that
     repeat a doc_id are judged by their own texts; a null doc_id is passed over
@@ -170,15 +182,12 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int =
     classes = rows_of.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     classes = materialise(classes)
     keys = rows_of.where("class IS NOT NULL").select("doc_id", "class", "keys").join(classes.select(F.col("class_id").alias("doc_id"), F.col("class")), ["doc_id", "class"], "left_semi")
-    keys = keys.select("class", F.explode("keys").alias("key")).distinct().select("key", F.col("class").alias("id"), F.lit(None).cast("long").alias("own"))
-    pairs = materialise(star_pairs(keys))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = classes.join(ids, "class", "left_semi").select(F.col("class_id").alias("_id"))
-    texts = typed(docs, doc_id="long", text="string")
-    lists = materialise(shingle_lists(texts.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"), k).join(ids, "class", "left_semi").dropDuplicates(["class"]))
-    side = lambda c, n: lists.select(F.col("class").alias(c), F.col("shingles").alias(f"s{n}"), F.col("times").alias(f"t{n}"))
-    both = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "s1", "t1", "s2", "t2")
-    links = materialise(verified(both, threshold))
+    keys = keys.select("class", F.explode("keys").alias("key")).distinct().select("key", F.col("class").alias("id"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(with_lists(pairs, classes, docs, k), threshold)
+
+    links = linked(keys, most, (), lambda _: lambda x, y: np.ones(len(x), bool), verify)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     known = classes.join(components(links).withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left")
     known = known.withColumn("root", F.coalesce("root", "class"))

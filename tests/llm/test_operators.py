@@ -382,3 +382,13 @@ def test_the_query_drops_repeated_short_lines(spark, tmp_path):
     rows = [(1, "Share this\nown words a\n\n---"), (2, "share  THIS!\nown words b\n\n---"), (3, "Home\nshare this page"), (4, "home")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.dropped for r in line_dedup.query(spark, str(tmp_path)).collect()} == {1: [], 2: [0], 3: [], 4: [0]}
+
+
+def test_near_dedup_of_a_hot_template(spark):
+    """200 documents at 0.776 to each other, 60 planted pairs of them at 0.825: the pairs are linked and nothing else."""
+    template = " ".join(f"t{i}" for i in range(350))
+    own = lambda name, n: " ".join(f"{name}x{i}" for i in range(n))
+    rows = [(i, f"{template} {own(f'p{i % 60}', 12)} {own(f'd{i}', 38)}" if i < 120 else f"{template} {own(f'd{i}', 50)}") for i in range(200)]
+    for bound in ({}, {"most": 4}):
+        got = {r.doc_id: r.cluster_id for r in near_dedup.near_dedup(docs(spark, rows), **bound).collect()}
+        assert got == {i: i % 60 if i < 120 else i for i, _ in rows}
