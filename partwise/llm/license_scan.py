@@ -13,18 +13,21 @@ from partwise.llm.shared import table, typed
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 V = r"(?:version |v |ver )?"
-CC = r"(?:creative commons |cc )"
 NUM = r"(?: [1-4] 0)?(?: (?:international|unported|igo|us|de|fr|es))?"
 
 #: (label, keyword, name, SPDX words); a name before those that it contains or could be taken for.
-#: Names are regexes over lower-case words with one space between.
+#: Names are regexes over lower-case words with one space between; the keyword is in every text that the name matches.
 LICENSES = [
-    ("cc-by-nc-sa", "nc", CC + r"(?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)" + NUM, r"cc by nc sa [1-4] 0"),
-    ("cc-by-nc-nd", "nd", CC + r"(?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?derivs|no ?derivatives)" + NUM, r"cc by nc nd [1-4] 0"),
-    ("cc-by-nc", "cc by nc", CC + r"(?:by|attribution) (?:nc|non ?commercial)" + NUM, r"cc by nc [1-4] 0"),
-    ("cc-by-nc", "creative commons", CC + r"attribution (?:nc|non ?commercial)" + NUM, r"cc by nc"),
-    ("cc-by-sa", "by", CC + r"(?:by|attribution) (?:sa|share ?alike)" + NUM, r"cc by sa [1-4] 0"),
-    ("cc-by-nd", "by", CC + r"(?:by|attribution) (?:nd|no ?derivs|no ?derivatives)" + NUM, r"cc by nd [1-4] 0"),
+    ("cc-by-nc-sa", "cc", r"cc (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)" + NUM, r"cc by nc sa [1-4] 0"),
+    ("cc-by-nc-sa", "creative commons", r"creative commons (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)" + NUM, r"cc by nc sa [1-4] 0"),
+    ("cc-by-nc-nd", "cc", r"cc (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?derivs|no ?derivatives)" + NUM, r"cc by nc nd [1-4] 0"),
+    ("cc-by-nc-nd", "creative commons", r"creative commons (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?derivs|no ?derivatives)" + NUM, r"cc by nc nd [1-4] 0"),
+    ("cc-by-nc", "cc", r"cc (?:by|attribution) (?:nc|non ?commercial)" + NUM, r"cc by nc [1-4] 0"),
+    ("cc-by-nc", "creative commons", r"creative commons (?:by|attribution) (?:nc|non ?commercial)" + NUM, r"cc by nc"),
+    ("cc-by-sa", "cc", r"cc (?:by|attribution) (?:sa|share ?alike)" + NUM, r"cc by sa [1-4] 0"),
+    ("cc-by-sa", "creative commons", r"creative commons (?:by|attribution) (?:sa|share ?alike)" + NUM, r"cc by sa [1-4] 0"),
+    ("cc-by-nd", "cc", r"cc (?:by|attribution) (?:nd|no ?derivs|no ?derivatives)" + NUM, r"cc by nd [1-4] 0"),
+    ("cc-by-nd", "creative commons", r"creative commons (?:by|attribution) (?:nd|no ?derivs|no ?derivatives)" + NUM, r"cc by nd [1-4] 0"),
     ("cc-by", "cc by", r"cc by" + NUM, r"cc by [1-4] 0"),
     ("cc-by", "creative commons", r"creative commons (?:by|attribution)" + NUM, r"cc by"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
@@ -34,7 +37,7 @@ LICENSES = [
     ("agpl", "affero", r"(?:gnu )?affero (?:general public license|gpl)", r"agpl 1 0(?: only| or later)?"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser (?:general public license|gpl) ?" + V + r"2 1", r"lgpl 2 1(?: only| or later)?"),
     ("lgpl-3", "lesser", r"(?:gnu )?lesser (?:general public license|gpl) ?" + V + r"3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl-2", "library general", r"(?:gnu )?library (?:general public license|gpl) ?" + V + r"2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2", "library", r"(?:gnu )?library (?:general public license|gpl) ?" + V + r"2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?v?2 1", r"lgpl 2 1"),
     ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?", r"lgpl 3 0"),
     ("lgpl", "lesser", r"(?:gnu )?lesser (?:general public license|gpl)", r"lgpl"),
@@ -114,7 +117,7 @@ FORMS = [
 #: Rules that name no licence.
 OTHERS = [("public-domain", "public domain", r"(?:released|placed|dedicated|is|are) (?:in |into |to )?(?:the )?public domain", 0.7), ("proprietary", "rights reserved", r"all rights reserved", 0.5)]
 #: Every rule matches only texts with one of these words in them.
-GATE = ["licen", "spdx", "cc by", "cc0", "creative commons", "gpl", "wtfpl", "mulan psl", "public domain", "rights reserved"]
+GATE = ["licen", "spdx", "cc by", "cc attribution", "cc0", "creative commons", "gpl", "wtfpl", "mulan psl", "public domain", "rights reserved"]
 
 
 def rules() -> list[dict]:

@@ -392,3 +392,38 @@ def test_near_dedup_of_a_hot_template(spark):
     for bound in ({}, {"most": 4}):
         got = {r.doc_id: r.cluster_id for r in near_dedup.near_dedup(docs(spark, rows), **bound).collect()}
         assert got == {i: i % 60 if i < 120 else i for i, _ in rows}
+
+
+def samples(pattern):
+    """Texts of a regex of literals, choices and optional parts: every choice once with each other."""
+    from re import _parser as parser
+
+    def of(tokens):
+        out = [""]
+        for op, v in tokens:
+            kind = str(op)
+            if kind == "LITERAL":
+                more = [chr(v)]
+            elif kind == "IN":
+                more = [chr(c) for k, x in v for c in ([x] if str(k) == "LITERAL" else x)]
+            elif kind == "MAX_REPEAT":
+                more = ["", *of(v[2])]
+            elif kind == "SUBPATTERN":
+                more = of(v[3])
+            else:
+                assert kind == "BRANCH"
+                more = [x for branch in v[1] for x in of(branch)]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_every_license_sample_passes_its_gates(spark):
+    for _, keyword, name, _ in license_scan.LICENSES:
+        for sample in samples(name):
+            assert re.fullmatch(name, sample) and keyword in sample, (name, sample)
+            assert any(gate in sample for gate in license_scan.GATE), sample
+    rows = ["Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution NoDerivs", "creative commons attribution non commercial share alike", "creative commons attribution noncommercial no derivatives 4.0", "cc attribution nc 4.0", "GNU Library GPL version 2"]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(docs(spark, list(enumerate(rows)))).collect()}
+    assert [got[i] for i in range(6)] == ["cc-by-sa", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "cc-by-nc", "lgpl-2"]
