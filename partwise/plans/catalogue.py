@@ -680,8 +680,10 @@ def ec_value_model(spark, d):
 
 @query()
 def svc_dup_check(spark, d):
-    known = representatives(spark, d).withColumn("keys", F.filter("keys", lambda k: ~F.startswith(k, F.lit("tok:"))))
-    return S.duplicate_check(records(spark, d).where("id % 50 = 0"), known)
+    """The registry is every record with all keys; candidates are ranked by the cosine of their descriptions."""
+    known = records(spark, d)
+    v = G.materialise(B.embed(known, idf=G.materialise(B.document_frequency(known))))
+    return S.duplicate_check(known.where("id % 50 = 0"), known, (v.where("id % 50 = 0"), v))
 
 
 @query(MEMBERS + "i AS (SELECT * FROM members WHERE nmc = '7' AND stock_qty > 0 AND last_movement_days >= 365 AND cpse_code <> 'ORG01'), p AS (SELECT avg(base_price) AS price FROM members WHERE nmc = '7') SELECT count(*) AS offers, coalesce(sum(stock_qty), 0)::DOUBLE AS available, least(coalesce(sum(stock_qty), 0), 100)::DOUBLE AS covered FROM i")
