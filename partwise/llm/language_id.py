@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm.shared import LOWER, buffers, chunks, mix, table, typed
+from partwise.llm.shared import LOWER, buffers, keep_rows, mix, table, typed
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
@@ -18,36 +18,31 @@ UNKNOWN = "und"
 
 
 #: Letters as they are, A-Z lower-cased; digits and signs of ASCII as one space.
-CLASSES = LOWER.copy()
+CLASSES = LOWER[:128].astype(np.uint32)
 CLASSES[:97] = CLASSES[123:128] = 32
 CLASSES[65:91] = np.arange(97, 123)
+#: Odd multipliers of the characters of an n-gram, and of its hash.
+PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
+LAST = np.uint32(0x27D4EB2F)
 
 
-#: Bucket of every n-gram, so that a text is looked up and not hashed.
-_TABLES: list[np.ndarray] = []
-
-
-def bucket_tables() -> list[np.ndarray]:
-    if not _TABLES:
-        small = np.arange(256, dtype=np.uint64)
-        for n in GRAMS:
-            values = np.full(1, n, np.uint64)
-            for _ in range(n):
-                values = (values[:, None] * np.uint64(257) + small[None, :]).ravel()
-            _TABLES.append((mix(values) & np.uint64(BUCKETS - 1)).astype(np.uint16))
-    return _TABLES
+def characters(data: np.ndarray) -> np.ndarray:
+    """Code points of one text's UTF-8 bytes; those of ASCII by CLASSES."""
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    return np.where(codes < 128, CLASSES[np.minimum(codes, 127)], codes)
 
 
 def counted(data: np.ndarray) -> np.ndarray:
-    """How often each bucket occurs among the n-grams of one text's UTF-8 bytes."""
-    low = CLASSES[data]
-    one, two, three = bucket_tables()
-    out = np.bincount(one[low], minlength=BUCKETS)
-    if len(low) > 1:
-        pair = low[:-1].astype(np.int32) << 8 | low[1:]
-        out += np.bincount(two[pair], minlength=BUCKETS)
-        if len(low) > 2:
-            out += np.bincount(three[pair[:-1] << 8 | low[2:]], minlength=BUCKETS)
+    """How often each bucket occurs among the n-grams of one text's characters."""
+    codes = characters(data)
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    total = np.zeros(len(codes), dtype=np.uint32)
+    for n in GRAMS:
+        if len(codes) < n:
+            break
+        total = total[: len(codes) - n + 1] + codes[n - 1 :] * PLACES[n - 1] + np.uint32(n)
+        mixed = (total ^ (total >> np.uint32(15))) * LAST
+        out += np.bincount(mixed >> np.uint32(18), minlength=BUCKETS)
     return out
 
 
@@ -163,7 +158,7 @@ def fit(docs: DataFrame, sample: int = 500, calibration: float = 0.2) -> Model:
 
     Document frequencies cover all of them. The weights are fitted on about
     sample rows of each language (all of a language with fewer), drawn by a hash
-    of doc_id; a share of those, drawn likewise, only sets the temperature. What
+    of doc_id and text; a share of those, drawn likewise, only sets the temperature. What
     comes to the driver is bounded by sample, BUCKETS and the number of languages.
     """
     docs = typed(docs, doc_id="long", text="string", lang="string").where("lang IS NOT NULL AND text IS NOT NULL")
@@ -176,7 +171,7 @@ def fit(docs: DataFrame, sample: int = 500, calibration: float = 0.2) -> Model:
     share = F.lit(0.0)
     for language, size in sizes.items():
         share = F.when(F.col("lang") == language, min(1.0, sample / size)).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_000)) / 1_000_000
     rows = sparse_counts(docs.where(draw < share)).collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang))
     examples, y, held = [], [], []
@@ -195,7 +190,7 @@ def fit(docs: DataFrame, sample: int = 500, calibration: float = 0.2) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs (doc_id, text), from its whole text.
+    """doc_id, mark (xxhash64 of the text), lang_pred, score of every row of docs (doc_id, text), from its whole text.
 
     und with score 0 for a text that is null or has no letter, and for every
     text if nothing was learned. Rows are judged one by one; an empty table
@@ -207,9 +202,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             got = [bc.value.predict(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "mark", "lang_pred", "score"])
 
-    return typed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return typed(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text")).mapInArrow(run, "doc_id long, mark long, lang_pred string, score double")
 
 
 def fold() -> Column:
@@ -217,16 +212,19 @@ def fold() -> Column:
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """Predict the language of every row of docs; rows of fold 2 teach nothing. doc_id, held_out, lang_pred, score."""
+    """Predict the language of every row of docs; rows of fold 2 teach nothing. doc_id, mark, held_out, lang_pred, score.
+
+    A null doc_id is of no fold and may teach; repeated rows are judged, and
+    may teach, each by itself. See fit and predict for null texts and labels.
+    """
     model = fit(docs.where(fold().isNull() | (fold() != 2)))
-    return predict(docs, model).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", "mark", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is not und."""
-    gone = language_id(docs).where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of docs, with all their columns, whose language is not und: those of a null text or one without letters go, and all if nothing can be learned."""
+    return keep_rows(docs, language_id(docs).select("doc_id", "mark", (F.col("lang_pred") != UNKNOWN).alias("kept")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents"))
+    return language_id(table(spark, sf_dir, "documents")).drop("mark")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm.shared import Words, components, linked, materialise, mix, table, typed, word_chunks
+from partwise.llm.shared import Forest, Words, across, components, dealt, few, grouped, in_groups, keep_rows, materialise, mix, star_pairs, table, typed, word_chunks
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,40 +61,43 @@ def prob_min_hash(text: np.ndarray, value: np.ndarray, times: np.ndarray, n_text
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """Per row of docs: doc_id, class (of texts with equal shingles and times; null without words), keys (one per band)."""
-    kind = pa.list_(pa.int64())
+    """Per row of docs (doc_id, text, mark): doc_id, mark, c1 and c2 (128 bits of its shingles and times; null without words), keys (one per band), signature (a byte of each register)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * GOLDEN)
         for batch in batches:
-            classes, keys, filled = [], [], []
             for words in word_chunks(batch.column(1)):
                 text, value, times = shingles(words, k)
-                classes.append(class_ids(text, value, times, words.n))
-                signature = prob_min_hash(text, value, times, words.n, bands * rows).reshape(words.n, bands, rows)
+                registers = prob_min_hash(text, value, times, words.n, bands * rows)
+                signature = registers.reshape(words.n, bands, rows)
                 key = np.zeros((words.n, bands), np.uint64) + salt
                 for j in range(rows):
                     key = mix(key * np.uint64(0xD6E8FEB86659FD93) + signature[:, :, j])
-                keys.append(key.view(np.int64))
-                filled.append(words.counts > 0)
-            filled = np.concatenate(filled) if filled else np.zeros(0, bool)
-            values = pa.array(np.concatenate(keys).ravel()) if keys else pa.array([], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(filled) + 1, dtype=np.int32) * bands), values)
-            own = pa.array(np.concatenate(classes) if classes else np.zeros(0, np.int64), mask=~filled)
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, lists.cast(kind)], names=["doc_id", "class", "keys"])
-
-    return typed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, class long, keys array<long>")
-
-
-def class_ids(text: np.ndarray, value: np.ndarray, times: np.ndarray, n_texts: int) -> np.ndarray:
+                none = words.counts == 0
+                own = batch.slice(words.first, words.n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column(0),
+                        own.column(2),
+                        *[pa.array(class_ids(text, value, times, words.n, c), mask=none) for c in (0, 1)],
+                        pa.ListArray.from_arrays(pa.array(np.arange(words.n + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel())),
+                        pa.array([bytes(x) for x in mix(registers).astype(np.uint8)], pa.binary()),
+                    ],
+                    names=["doc_id", "mark", "c1", "c2", "keys", "signature"],
+                )
+
+    return docs.mapInArrow(run, "doc_id long, mark long, c1 long, c2 long, keys array<long>, signature binary")
+
+
+def class_ids(text: np.ndarray, value: np.ndarray, times: np.ndarray, n_texts: int, salt: int) -> np.ndarray:
     """One hash of all shingles and times of each text."""
-    part = np.concatenate([[np.uint64(0)], np.cumsum(mix(value * GOLDEN + times.astype(np.uint64)))])
+    part = np.concatenate([[np.uint64(0)], np.cumsum(mix(mix(value + np.uint64(salt)) * GOLDEN + times.astype(np.uint64)))])
     bounds = np.searchsorted(text, np.arange(n_texts + 1))
     return mix(part[bounds[1:]] - part[bounds[:-1]]).view(np.int64)
 
 
-def shingle_lists(docs: DataFrame, k: int) -> DataFrame:
-    """class, shingles and times of each row of docs; for the rows that are verified."""
+def shingle_lists(texts: DataFrame, k: int) -> DataFrame:
+    """id, shingles and times of each row of texts (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +105,9 @@ def shingle_lists(docs: DataFrame, k: int) -> DataFrame:
                 text, value, times = shingles(words, k)
                 bounds = pa.array(np.searchsorted(text, np.arange(words.n + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (value.view(np.int64), times.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(text, value, times, words.n)), *lists], names=["class", "shingles", "times"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n), *lists], names=["id", "shingles", "times"])
 
-    return typed(docs, doc_id="long", text="string").mapInArrow(run, "class long, shingles array<long>, times array<int>")
+    return texts.mapInArrow(run, "id long, shingles array<long>, times array<int>")
 
 
 def similarities(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> tuple[float, float]:
@@ -127,37 +130,78 @@ def similarities(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -
     return jaccard, float((1 / (from_x / a + from_y / b)).sum())
 
 
+class Lists:
+    """Shingles and times of the rows of two list columns."""
+
+    def __init__(self, shingles: pa.Array, times: pa.Array):
+        self.bounds = shingles.offsets.to_numpy().tolist()
+        self.values, self.times = shingles.values.to_numpy().view(np.uint64), times.values.to_numpy()
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.bounds[i], self.bounds[i + 1])
+        return self.values[own], self.times[own]
+
+
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b, and shingles and times of both) with either similarity of threshold or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for i in range(2, 6):
-                column = batch.column(i)
-                parts.append((column.offsets.to_numpy(), column.values.to_numpy()))
-            keep = []
-            for r in range(batch.num_rows):
-                x, wx, y, wy = (v[o[r] : o[r + 1]] for o, v in parts)
-                keep.append(max(similarities(x.view(np.uint64), wx, y.view(np.uint64), wy)) >= threshold)
-            mask = pa.array(keep, pa.bool_())
+            x, y = Lists(batch.column(2), batch.column(3)), Lists(batch.column(4), batch.column(5))
+            mask = pa.array([max(similarities(*x[r], *y[r])) >= threshold for r in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def with_lists(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs of classes with shingles and times of both, from the row of docs that stands for each class."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = classes.join(ids, "class", "left_semi").select(F.col("class_id").alias("_id"))
-    texts = typed(docs, doc_id="long", text="string")
-    lists = materialise(shingle_lists(texts.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"), k).join(ids, "class", "left_semi").dropDuplicates(["class"]))
-    side = lambda c, n: lists.select(F.col("class").alias(c), F.col("shingles").alias(f"s{n}"), F.col("times").alias(f"t{n}"))
-    return pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "s1", "t1", "s2", "t2")
+def forest_links(groups: DataFrame, threshold: float, least: float) -> DataFrame:
+    """Verified links (a, b) that connect what is similar in each group of groups (key, i, j, side, id, root, signature, shingles, times).
+
+    Candidates are the pairs of a group of which least of the registers agree,
+    the most alike first. A pair that links of the group connect already is not
+    verified again. 1 - either similarity is a metric (it is the chance that a
+    hash differs), so a pair is out unverified if the distances of both to one
+    row of the group, the pivot, differ by more than 1 - threshold.
+    """
+
+    def links(side: np.ndarray, ids: np.ndarray, roots: np.ndarray, bytes_: np.ndarray, lists: Lists, base: int) -> Iterator[tuple[int, int]]:
+        n, need = len(ids), least * bytes_.shape[1]
+        found = []
+        for x in range(n - 1):
+            agree = (bytes_[x + 1 :] == bytes_[x]).sum(axis=1)
+            y = np.flatnonzero(agree >= need)
+            found.append(np.stack([agree[y], np.full(len(y), x), y + x + 1], axis=1))
+        found = np.concatenate(found)
+        x, y = found[:, 1], found[:, 2]
+        found = found[((side[x] < 0) | (side[x] != side[y])) & (roots[x] != roots[y])]
+        if not len(found):
+            return
+        pivot = int(np.bincount(found[:, 1:].ravel(), minlength=n).argmax())
+        to_pivot = np.array([similarities(*lists[base + pivot], *lists[base + i]) for i in range(n)]) if len(found) > 2 * n else None
+        if to_pivot is not None:
+            apart = np.abs(to_pivot[found[:, 1]] - to_pivot[found[:, 2]]).min(axis=1)
+            found = found[apart <= 1 - threshold + 1e-9]
+        forest = Forest(roots)
+        for _, a, b in found[np.argsort(-found[:, 0], kind="stable")].tolist():
+            if forest.top(a) != forest.top(b) and max(similarities(*lists[base + a], *lists[base + b])) >= threshold:
+                forest.join(a, b)
+                yield int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds, _ in grouped(batches, 3):
+            side, ids, roots = (batch.column(k).to_numpy() for k in (3, 4, 5))
+            bytes_ = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            lists = Lists(batch.column(7), batch.column(8))
+            found = [link for s, e in zip(bounds[:-1], bounds[1:], strict=True) for link in links(side[s:e], ids[s:e], roots[s:e], bytes_[s:e], lists, int(s))]
+            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rows = groups.select("key", "i", "j", "side", "id", "root", "signature", "shingles", "times")
+    return in_groups(rows, ["key", "i", "j"], run, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, most: int = 128) -> DataFrame:
-    """Near duplicates of docs (doc_id, text), one row each: doc_id, class_id, cluster_id, n_links, kept.
+def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, most: int = 2048, least: float = 0.65) -> DataFrame:
+    """Near duplicates of docs (doc_id, text), one row each: doc_id, mark, class_id, class_size, cluster_id, kept.
 
     Shingles are k lower-case words, weighted by how often they occur; a text
     of fewer words is one shingle. Texts with equal shingles and weights are one
@@ -165,50 +209,70 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int =
     ProbMinHash signatures are candidates; a pair is linked if the Jaccard
     similarity of its shingles, or the probability Jaccard similarity of their
     weights, both computed exactly, is threshold or more. cluster_id is the
-    smallest doc_id of the connected classes, and that row is kept. n_links:
-    verified links of the class; pairs that only keys of more than most classes
-    hold may go unverified once they are in one cluster.
+    smallest doc_id of the connected classes, and one row of that doc_id is kept.
 
     With 20 bands of 4, a pair of similarity 0.8 shares no band with
-    probability 0.00003. In a band key of at most most classes all meet; in a
-    larger one all that two hubs do not link already (linked). A class is
-    counted once however many rows it has.
+    probability 0.00003, and agrees in fewer than least of the 80 registers
+    with 0.0003. All classes of a band key meet, in one group as far as there
+    are at most most of them; those of larger keys meet two hubs first, and
+    then, block by block, all that are still in other clusters. Classes that
+    verified links connect already are not compared again, so no cluster
+    depends on hubs or on a key's size. A class is counted once however many
+    rows it has.
 
     Texts without words, null included, are clusters of their own. Rows that
-    repeat a doc_id are judged by their own texts; a null doc_id is passed over
-    as long as its class has another. An empty table gives no rows.
+    repeat a doc_id are judged by their own texts (mark, a hash of the text,
+    tells them apart); of rows that repeat both one is kept. A null doc_id
+    counts as larger than any other. An empty table gives no rows.
     """
-    rows_of = materialise(sketches(docs, k, bands, rows))
-    classes = rows_of.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    classes = materialise(classes)
-    keys = rows_of.where("class IS NOT NULL").select("doc_id", "class", "keys").join(classes.select(F.col("class_id").alias("doc_id"), F.col("class")), ["doc_id", "class"], "left_semi")
-    keys = keys.select("class", F.explode("keys").alias("key")).distinct().select("key", F.col("class").alias("id"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return verified(with_lists(pairs, classes, docs, k), threshold)
-
-    links = linked(keys, most, (), lambda _: lambda x, y: np.ones(len(x), bool), verify)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
-    known = classes.join(components(links).withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left")
-    known = known.withColumn("root", F.coalesce("root", "class"))
-    clusters = known.groupBy("root").agg(F.min("class_id").alias("cluster_id"))
-    known = materialise(known.join(clusters, "root").select("class", "class_id", "cluster_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    out = rows_of.select("doc_id", "class").join(known, "class", "left")
-    own = F.col("class_id").isNull()
+    docs = typed(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text"))
+    rows_of = materialise(sketches(docs, k, bands, rows).withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row")
+    classes = materialise(rows_of.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(order).alias("best"), F.count("*").alias("class_size")))
+    ids = classes.select(F.col("best.row").alias("row"))
+    stands = rows_of.join(few(ids), "row", "left_semi").withColumnRenamed("row", "id")
+    keys = stands.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
+    sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b")).where("size > 1"))
+    shared = materialise(keys.join(sizes.where("size > 2").select("key", "size"), "key"))
+    two = sizes.where("size = 2").select("a", "b")
+    large = shared.where(F.col("size") > most)
+    hot = large.limit(1).count() > 0
+    pairs = materialise((two.union(star_pairs(large.select("key", "id", F.lit(None).cast("long").alias("own")))) if hot else two).distinct())
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(shared.select("id")).distinct()
+    wanted = materialise(stands.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_mark"), "signature"))
+    texts = docs.join(few(wanted.drop("signature")), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("mark") == F.col("_mark"))).select("id", "text")
+    lists = materialise(shingle_lists(texts, k).dropDuplicates(["id"]))
+    side = lambda c, n: lists.select(F.col("id").alias(c), F.col("shingles").alias(f"s{n}"), F.col("times").alias(f"t{n}"))
+    both = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "s1", "t1", "s2", "t2")
+    payload = lists.join(wanted.select("id", "signature"), "id")
+
+    one = F.lit(0).cast("long")
+    small = shared.where(F.col("size") <= most).select("key", "id", one.alias("i"), one.alias("j"), F.lit(-1).alias("side"), F.col("id").alias("root"))
+    links = materialise(verified(both, threshold).union(forest_links(small.join(payload, "id"), threshold, least)).distinct())
+    if hot:
+        apart = across(large.drop("size"), components(links))
+        links = materialise(links.union(forest_links(dealt(apart, most).join(payload, "id"), threshold, least)).distinct())
+
+    known = classes.select("c1", "c2", "best", "class_size", F.col("best.row").alias("id")).join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    clusters = known.groupBy("root").agg(F.min("best").alias("kept"))
+    known = materialise(known.join(clusters, "root").select("c1", "c2", F.col("best.doc_id").alias("class_id"), "class_size", "kept"))
+    out = rows_of.select("doc_id", "mark", "row", "c1", "c2").join(known, ["c1", "c2"], "left")
+    own = F.col("kept").isNull()
     return out.select(
         "doc_id",
+        "mark",
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("cluster_id")).alias("cluster_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (own | F.col("doc_id").eqNullSafe(F.col("cluster_id"))).alias("kept"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("kept.doc_id")).alias("cluster_id"),
+        (own | (F.col("row") == F.col("kept.row"))).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_dedup keeps, with all their columns."""
-    gone = near_dedup(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of docs that near_dedup keeps, with all their columns; of rows that repeat doc_id and text one stays."""
+    return keep_rows(docs, near_dedup(docs), once=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).drop("mark")

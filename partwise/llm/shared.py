@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where none is named."""
+    """The session's shared folder; a temporary one is set only where none is named and everything runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="partwise-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="partwise-"))
     return sc.getCheckpointDir()
 
 
@@ -35,6 +38,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that materialise wrote and that no plan will read again."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most so many rows; a larger one is joined by shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,6 +60,27 @@ def typed(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
+def keep_rows(docs: DataFrame, decided: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of docs (doc_id, text, ...), all columns, that decided (doc_id, mark = xxhash64 of the text, kept) keeps.
+
+    decided has as many rows of each doc_id and mark as docs; a row stays if
+    any of its doc_id and mark is kept. With once, one of the rows that repeat
+    both stays; which of them is not told. Columns of any name may stand beside
+    doc_id and text.
+    """
+    told = decided.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    odd = materialise(told.where("NOT kept OR n > 1" if once else "NOT kept"))
+    free = iter(c for c in (f"_key{i}" for i in range(len(docs.columns) + 2)) if c not in {x.lower() for x in docs.columns})
+    a, b = next(free), next(free)
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(F.col("text").cast("string")) == F.col(b))
+    keyed = lambda df: few(df.select(F.col("doc_id").alias(a), F.col("mark").alias(b)))
+    out = docs.join(keyed(odd), on, "left_anti")
+    twice = odd.where("kept")
+    if once and twice.limit(1).count():
+        out = out.union(docs.join(keyed(twice), on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
+
+
 # --- words of whole texts, vectorised over UTF-8 bytes -----------------------
 #
 # A word is a run of 0-9, a-z (after A-Z are lower-cased) and code points from
@@ -55,20 +92,6 @@ WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = True
 WORD[128:] = True
 
-BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0..n-1, modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        for k, b in enumerate((BASE, pow(BASE, -1, 2**64))):
-            a = np.full(n, b, dtype=np.uint64)
-            a[0] = 1
-            _POWERS[k] = np.cumprod(a, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values, so that all their bits look random."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -76,12 +99,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Random values of bytes and of places in a span.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_PLACES: list[np.ndarray] = [np.zeros(0, np.uint64)]
+
+
+def places(n: int) -> np.ndarray:
+    if len(_PLACES[0]) < n:
+        _PLACES[0] = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    return _PLACES[0]
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for each span, in one pass over the values."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of values[start:end] (bytes, or 64-bit values) for each span; spans ascend and don't overlap.
+
+    Multilinear: each value is multiplied by a random weight of its place in
+    the span, so that no sequence cancels out as in a polynomial modulo 2^64.
+    """
+    lengths = ends - starts
+    out = np.zeros(len(starts), dtype=np.uint64)
+    filled = np.flatnonzero(lengths)
+    if len(filled):
+        n = lengths[filled]
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        own = values[place + np.repeat(starts[filled], n)]
+        own = BYTES[own] if values.dtype == np.uint8 else mix(own + np.uint64(1))
+        out[filled] = np.add.reduceat(own * places(int(n.max()))[place], first)
+    return mix(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Words:
@@ -191,90 +236,92 @@ def star_pairs(keys: DataFrame, check: Callable[[Column, Column], Column] | None
     return pairs.select(F.least("id", "other.hub").alias("a"), F.greatest("id", "other.hub").alias("b")).union(two).distinct()
 
 
-def met(shared: DataFrame, most: int, *own: str) -> DataFrame:
-    """Groups (items: structs of side, id and the columns own) in which all items of each key of shared (key, size, id) meet.
+def dealt(shared: DataFrame, most: int) -> DataFrame:
+    """Rows of shared (key, size, id, ...) with columns i, j and side, dealt into groups (key, i, j) of about 2 * most rows at most.
 
-    A key of more than most items is dealt into blocks; each block meets itself
-    and every other block in groups of their own. side is -1 where all items of
+    A key of more than most rows is dealt into blocks; each block meets itself
+    and every other block in groups of their own. side is -1 where all rows of
     the group are to meet, otherwise the block: 0 is to meet 1.
     """
-    blocks = F.ceil(F.col("size") / F.lit(most))
-    dealt = shared.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), "_blocks"))
+    dealt = shared.withColumn("_blocks", F.ceil(F.col("size") / F.lit(most))).withColumn("_own", F.pmod(F.xxhash64("id"), "_blocks"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     side = F.when(F.col("_own") == F.col("_other"), -1).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).withColumn("side", side)
-    return dealt.groupBy("key", "_i", "_j").agg(F.collect_list(F.struct("side", "id", *own)).alias("items")).select("items")
-
-
-def meeting(groups: DataFrame, check: Callable[[list[pa.Array]], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the ids that met lets meet and check keeps: a function of the own columns that tells from places x and y which pairs stay."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = batch.column(0)
-            if not len(items):
-                continue
-            bounds, values = items.offsets.to_numpy().astype(np.int64), items.values
-            side, ids = values.field(0).to_numpy(), values.field(1).to_numpy()
-            stays = check([values.field(i) for i in range(2, values.type.num_fields)])
-            end = np.repeat(bounds[1:], np.diff(bounds))
-            left = np.arange(bounds[0], bounds[-1])
-            found, waiting, step = [np.zeros((0, 2), np.int64)], 0, 1
-            while len(left := left[left + step < end[left - bounds[0]]]):
-                x = left[(side[left] < 0) | (side[left] != side[left + step])]
-                x = x[ids[x] != ids[x + step]]
-                x = x[stays(x, x + step)]
-                found.append(np.stack([np.minimum(ids[x], ids[x + step]), np.maximum(ids[x], ids[x + step])], axis=1))
-                waiting, step = waiting + len(x), step + 1
-                if waiting > 1 << 20:
-                    yield pair_batch(found)
-                    found, waiting = [np.zeros((0, 2), np.int64)], 0
-            yield pair_batch(found)
-
-    return groups.mapInArrow(run, "a long, b long").distinct()
-
-
-def pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def linked(keys: DataFrame, most: int, own: tuple[str, ...], check: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that verify keeps of the pairs of items of keys (key, id, own columns) that share a key and that check lets pass.
-
-    All pairs of keys of at most most items are verified. In larger keys each
-    item first meets two hubs (star_pairs); then all items meet whose components
-    differ after that, so no component depends on hubs. Pairs that are in one
-    component already, of large keys only, may go unverified.
+    return dealt.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "side": side}).drop("_blocks", "_own", "_other", "size")
+
+
+def in_groups(rows: DataFrame, keys: list[str], run: Callable, out: str) -> DataFrame:
+    """rows through mapInArrow, those of each value of keys one after the other; see grouped."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, most: int = 1 << 62) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
+    """Batches of whole groups, the bounds of the groups in them, and whether they are pieces of one group of more than most rows.
+
+    A group is a run of rows of equal first columns, keys of them, longs.
     """
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialise(keys.join(sizes, "key"))
-    small = meeting(met(shared.where(F.col("size") <= most), most, *own), check)
-    large = shared.where(F.col("size") > most)
-    hubs = star_pairs(large.select("key", "id", F.lit(None).cast("long").alias("own")))
-    tried = materialise(small.union(hubs).distinct())
-    links = materialise(verify(tried))
-    apart = across(large, components(links))
-    more = materialise(meeting(met(apart, 8 * most, "root", *own), lambda c: other_roots(c[0], check(c[1:]))).join(tried, ["a", "b"], "left_anti"))
-    return materialise(links.union(verify(more)))
+    held: list[pa.RecordBatch] = []
+    waiting, cut = 0, False
+
+    def joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        batch = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return batch, np.concatenate([[0], changes(batch), [batch.num_rows]])
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        return np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = bool(held) and all(held[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in range(keys))
+        starts = changes(batch)
+        if not same:
+            if held:
+                yield *joined(held), cut
+            held, waiting, cut = [], 0, False
+        if len(starts):
+            last = int(starts[-1])
+            if cut:
+                first = int(starts[0])
+                yield *joined([*held, batch.slice(0, first)]), True
+                held = []
+                if last > first:
+                    yield *joined([batch.slice(first, last - first)]), False
+            else:
+                yield *joined([*held, batch.slice(0, last)]), False
+            held, waiting, cut = [batch.slice(last)], batch.num_rows - last, False
+        else:
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting > most:
+                cut = True
+                yield *joined(held), True
+                held, waiting = [batch.slice(batch.num_rows - 1)], 1
+    if held:
+        yield *joined(held), cut
 
 
-def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """shared with the root of each id; only keys whose ids have different roots."""
-    rooted = materialise(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    return rooted.join(rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l <> _m").select("key"), "key", "left_semi")
+class Forest:
+    """Disjoint sets of 0..n-1; items of equal roots begin in one set."""
+
+    def __init__(self, roots: np.ndarray):
+        _, first, own = np.unique(roots, return_index=True, return_inverse=True)
+        self.up = first[own].tolist()
 
+    def top(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
 
-def other_roots(root: pa.Array, stays: Callable) -> Callable:
-    """stays for pairs of different roots; the others do not stay."""
-    root = root.to_numpy()
+    def join(self, x: int, y: int) -> None:
+        self.up[self.top(x)] = self.top(y)
 
-    def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = root[x] != root[y]
-        out[out] = stays(x[out], y[out])
-        return out
 
-    return both
+def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared with the root of each id; only keys whose ids have different roots."""
+    rooted = materialise(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    return rooted.join(rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_m"), F.count("*").alias("size")).where("_l <> _m").select("key", "size"), "key")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -303,8 +350,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = materialise(star(star(edges, False), True))
+        last, edges = edges, materialise(star(star(edges, False), True))
         now = digest(edges)
+        forget(last)
         if now == before:
             break
         before = now

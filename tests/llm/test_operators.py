@@ -310,26 +310,6 @@ def test_sim_hash_of_long_and_short_texts():
         assert want == int(got[i])
 
 
-@pytest.mark.parametrize("most", [2, 6, 128])
-def test_close_pairs_against_all_pairs(spark, most):
-    """Keys of chance and keys of near copies: with keys up to most nothing is missed, beyond it groups stay whole."""
-    rng = np.random.default_rng(11)
-    base = rng.integers(0, 2**63, 40)
-    sims = []
-    for b in base.tolist():
-        for _ in range(int(rng.integers(1, 5))):
-            v = b
-            for bit in rng.choice(63, int(rng.integers(0, 4)), replace=False).tolist():
-                v ^= 1 << bit
-            sims.append(v)
-    lines = spark.createDataFrame([(i, v) for i, v in enumerate(sims)], "id long, sim long")
-    keys = lines.select(F.explode(line_dedup.block_keys(F.col("sim"), 3, 5)).alias("key"), "id", F.col("sim").alias("own"))
-    got = {(r.a, r.b) for r in line_dedup.close_pairs(keys, 3, most).collect()}
-    want = {(i, j) for j in range(len(sims)) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= 3}
-    assert got <= want and (most < 128 or got == want)
-    assert len(got) > len(base) // 2
-
-
 def test_lines_of_small_edits_are_found(spark):
     """Recall of lines of edit similarity 0.9 or more: one letter, one word, and letters all over the line."""
     rng = random.Random(13)
@@ -360,24 +340,6 @@ def test_lines_of_small_edits_are_found(spark):
             assert sum(found) >= least * len(found), (n, kind, sum(found), len(found))
 
 
-@pytest.mark.parametrize("most", [2, 6, 40])
-def test_large_keys_lose_no_close_pair(spark, most):
-    """300 SimHashes in one key, far from each other but for planted pairs; whatever most is, all pairs are found."""
-    rng = np.random.default_rng(17)
-    sims = (rng.integers(0, 2**44, 300) << 18).tolist()
-    sims += [v ^ (1 << 20) ^ (1 << 40) for v in sims[:60]]
-    keys = spark.createDataFrame([(1, i, v) for i, v in enumerate(sims)], "key long, id long, own long")
-    want = {(i, j) for j in range(len(sims)) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= 3}
-    assert len(want) >= 60
-    assert {(r.a, r.b) for r in line_dedup.close_pairs(keys, 3, most).collect()} == want
-    # A family that is close to one base: all parts are shared by many.
-    base = int(rng.integers(0, 2**62))
-    family = sorted({base ^ (1 << i) ^ (1 << j) for i, j in rng.integers(0, 62, (120, 2)).tolist()})
-    keys = spark.createDataFrame([(1, i, v) for i, v in enumerate(family)], "key long, id long, own long")
-    want = {(i, j) for j in range(len(family)) for i in range(j) if (family[i] ^ family[j]).bit_count() <= 3}
-    assert {(r.a, r.b) for r in line_dedup.close_pairs(keys, 3, most).collect()} == want
-
-
 def test_the_query_drops_repeated_short_lines(spark, tmp_path):
     rows = [(1, "Share this\nown words a\n\n---"), (2, "share  THIS!\nown words b\n\n---"), (3, "Home\nshare this page"), (4, "home")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
