@@ -6,8 +6,10 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,17 @@ from partwise.llm.shared import table, typed
 
 # --- leaf blocks -------------------------------------------------------------
 
-#: Comments, declarations and tags; quoted attribute values may hold >, an unclosed quote ends with the tag.
-MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
+#: The name of a tag, and the rest of it up to a > outside of quotes.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: Elements by their part in HTML (fixed values of the standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript title iframe object svg math textarea canvas select audio video".split())
+HIDDEN = frozenset("script style template title iframe textarea select".split())
+#: Elements of other vocabularies, which may end in />.
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul button".split()
 )
@@ -66,131 +72,181 @@ class Block:
     main: bool | None = None
 
 
-@dataclass(slots=True)
 class Node:
-    tag: str
-    features: list[str] = field(default_factory=list)
-    main: bool | None = None
+    """An open element and what blocks below it inherit: features of all that stand above, the innermost of them apart."""
 
+    __slots__ = ("tag", "features", "hint", "frame", "inner", "main")
 
-def node_of(tag: str, attributes: str) -> Node:
-    node = Node(tag)
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
+    def __init__(self, tag: str, attributes: str, above: Node | None):
+        self.tag = tag
+        self.features, self.hint, self.frame, self.inner, self.main = (above.features, above.hint, above.frame, above.inner, above.main) if above else (frozenset(["bias"]), "", "", "none", None)
+        new: set[str] = set()
+        for m in ATTRIBUTE.finditer(attributes) if attributes else ():
             value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "data-y":
-                node.main = value == "1"
+                self.main = value == "1"
             else:
-                node.features += {f"hint:{HINT_OF[w]}" for w in re.split(r"[^a-z]+", value.lower()) if w in HINT_OF}
-    return node
+                hints = sorted({f"hint:{HINT_OF[w]}" for w in re.split(r"[^a-z]+", value.lower()) if w in HINT_OF})
+                new.update(hints)
+                self.hint = hints[-1] if hints else self.hint
+        if tag in FRAMES:
+            new.add(f"in:{tag}")
+            self.frame = tag
+        if tag in BLOCK:
+            self.inner = tag
+        if not new <= self.features:
+            self.features = self.features | new
+
+
+class Tags:
+    """Where the tags of a page end, in time linear in the page whatever it holds."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.ends: tuple[list[int], list[int]] | None = None
+        self.unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The place behind the > that ends a tag whose name ends at at: the next one outside of quotes, else the next one; -1 if there is none."""
+        if at > self.last:
+            return -1
+        if self.ends is None:
+            m = REST.match(self.source, at)
+            if m:
+                return m.end()
+            self.ends = self.table()
+        places, ends = self.ends
+        k = bisect_left(places, at)
+        found = ends[k] if k < len(places) else -1
+        return found + 1 if found >= 0 else self.source.find(">", at) + 1
+
+    def table(self) -> tuple[list[int], list[int]]:
+        """For each > and quote, the next > outside of quotes if it is met outside of them."""
+        outside = double = single = -1
+        places, ends = [], []
+        for m in reversed(list(SPECIAL.finditer(self.source))):
+            if m[0] == ">":
+                outside = m.start()
+            elif m[0] == '"':
+                outside, double = double, outside
+            else:
+                outside, single = single, outside
+            places.append(m.start())
+            ends.append(outside)
+        return places[::-1], ends[::-1]
+
+    def closing(self, tag: str, at: int) -> int:
+        """The place behind the end tag of an element without markup; -1 if there is none."""
+        if tag in self.unclosed:
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(self.source, at)
+        if m is None:
+            self.unclosed.add(tag)
+        return m.end() if m else -1
 
 
 def blocks_of(source: str) -> list[Block]:
-    """The leaf blocks of a page in page order; hidden elements have none. Any string is read; open elements end with the page."""
+    """The leaf blocks of a page in page order; hidden elements have none. Any string is read, in linear time; open elements end with the page."""
     stack: list[Node] = []
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag, in order
     out: list[Block] = []
     parts: list[str] = []
-    linked = 0
-    hidden, at, n = "", 0, len(source)
+    linked, at, n, tags = 0, 0, len(source), Tags(source)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(described(text, stack, linked / max(1, len(text))))
+                out.append(described(text, stack[-1] if stack else None, linked / max(1, len(text))))
             parts.clear()
         linked = 0
 
     def close(k: int) -> None:
         if any(x.tag in BLOCK for x in stack[k:]):
             flush()
+        for x in stack[k:]:
+            if x.tag:
+                where[x.tag].pop()
         del stack[k:]
 
     while at < n:
-        if hidden:
-            m = re.compile(rf"</{hidden}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at, hidden = (m.end() if m else n), ""
-            continue
-        m = MARKUP.search(source, at)
-        piece = source[at : m.start()] if m else source[at:]
+        start = source.find("<", at)
+        piece = source[at:start] if start >= 0 else source[at:]
         if piece:
             parts.append(piece)
-            if any(x.tag == "a" for x in stack):
-                linked += len(piece)
-        if not m:
+            linked += len(piece) if where["a"] else 0
+        if start < 0:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        m = TAG.match(source, start)
+        if m is None:
+            if source.startswith("<!--", start):
+                end = -1 if "-->" in tags.unclosed else source.find("-->", start + 4)
+                if end < 0:
+                    tags.unclosed.add("-->")
+                at = end + 3 if end >= 0 else tags.end(start + 4)
+            elif source.startswith(("<!", "<?"), start):
+                at = source.find(">", start) + 1
+            else:
+                at = 0
+            if at <= 0:
+                parts.append("<")
+                at = start + 1
             continue
-        if m[1] or m[4]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if k is not None:
-                close(k)
+        at = tags.end(m.end())
+        if at < 0:
+            parts.append("<")
+            at = start + 1
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if where[tag]:
+                close(where[tag][-1])
             elif tag in BLOCK:
                 flush()
             continue
         if tag in HIDDEN:
-            flush() if tag == "title" else None
-            hidden = tag
+            if tag == "title":
+                flush()
+            end = tags.closing(tag, at)
+            at = end if end >= 0 else at
             continue
         if tag == "br":
             parts.append(" ")
-        if tag in VOID:
+        if tag in VOID or (tag in FOREIGN and source[at - 2] == "/"):
             if tag == "hr":
                 flush()
             continue
-        if tag in CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == "p"), None)
-            if k is not None:
-                close(k)
+        if tag in CLOSES_P and where["p"]:
+            close(where["p"][-1])
         if tag in ENDED_BY:
             ended, stop = ENDED_BY[tag]
-            k = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in ended:
-                    k = i
+            above = max((where[t][-1] for t in stop if where[t]), default=-1)
+            k = min((where[t][i] for t in ended if (i := bisect_left(where[t], above + 1)) < len(where[t])), default=len(stack))
             close(k)
         if tag in BLOCK:
             flush()
-        if tag == "a":
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == "a"), None)
-            if k is not None:
-                del stack[k]
-        stack.append(node_of(tag, m[3] or m[6] or ""))
+        if tag == "a" and where["a"]:
+            stack[where["a"].pop()].tag = ""
+        where[tag].append(len(stack))
+        stack.append(Node(tag, source[m.end() : at - 1], stack[-1] if stack else None))
     flush()
     return out
 
 
-def described(text: str, stack: list[Node], linked: float) -> Block:
+def described(text: str, node: Node | None, linked: float) -> Block:
     """Features of a block: its ancestors' tags and hints, the innermost of them apart, and its text."""
-    features, main = {"bias"}, None
-    inner_hint = inner_frame = ""
-    for x in stack:
-        features.update(x.features)
-        if x.tag in FRAMES:
-            features.add(f"in:{x.tag}")
-            inner_frame = x.tag
-        if x.features:
-            inner_hint = x.features[-1]
-        if x.main is not None:
-            main = x.main
-    inner = next((x.tag for x in reversed(stack) if x.tag in BLOCK), "none")
-    features.add(f"tag:{'h' if inner in HEAD_TAGS else inner}")
-    features.add(f"frame:{inner_frame}")
-    if inner_hint:
-        features.add(f"near{inner_hint[4:]}")
+    node = node or Node("", "", None)
     n = len(text)
-    features.add(f"long:{min(6, int(math.log2(n / 8 + 1)))}")
-    features.add(f"link:{min(4, int(min(1.0, linked) * 4.999))}")
+    features = set(node.features)
+    features.update((f"tag:{'h' if node.inner in HEAD_TAGS else node.inner}", f"frame:{node.frame}", f"long:{min(6, int(math.log2(n / 8 + 1)))}", f"link:{min(4, int(min(1.0, linked) * 4.999))}"))
+    if node.hint:
+        features.add(f"near{node.hint[4:]}")
     if text[-1] in ".!?…。\"'”":
         features.add("stop")
     if "©" in text or "(c)" in text:
         features.add("copyright")
-    return Block(text, sorted(features), linked, main)
+    return Block(text, sorted(features), linked, node.main)
 
 
 FRAMES = frozenset("article main section nav header footer aside form figure figcaption table ul ol dl blockquote pre button details dialog menu fieldset address".split())

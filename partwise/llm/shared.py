@@ -110,23 +110,47 @@ def places(n: int) -> np.ndarray:
     return _PLACES[0]
 
 
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans of more values are hashed by place_hashes.
+LONG = 64
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0..n-1, modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, b in enumerate((BASE, pow(BASE, -1, 2**64))):
+            a = np.full(n, b, dtype=np.uint64)
+            a[0] = 1
+            _POWERS[k] = np.cumprod(a, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
+
+
+def place_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Multilinear hashes: each value times a random weight of its place in the span."""
+    n = ends - starts
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    own = values[place + np.repeat(starts, n)]
+    own = BYTES[own] if values.dtype == np.uint8 else mix(own + np.uint64(1))
+    return np.add.reduceat(own * places(int(n.max()))[place], first)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of values[start:end] (bytes, or 64-bit values) for each span; spans ascend and don't overlap.
 
-    Multilinear: each value is multiplied by a random weight of its place in
-    the span, so that no sequence cancels out as in a polynomial modulo 2^64.
+    A polynomial modulo 2^64, from one running sum over all values. Long
+    sequences of two values can cancel out in such a polynomial, so spans of
+    more than LONG values are hashed by place instead.
     """
-    lengths = ends - starts
-    out = np.zeros(len(starts), dtype=np.uint64)
-    filled = np.flatnonzero(lengths)
-    if len(filled):
-        n = lengths[filled]
-        first = np.cumsum(n) - n
-        place = np.arange(n.sum()) - np.repeat(first, n)
-        own = values[place + np.repeat(starts[filled], n)]
-        own = BYTES[own] if values.dtype == np.uint8 else mix(own + np.uint64(1))
-        out[filled] = np.add.reduceat(own * places(int(n.max()))[place], first)
-    return mix(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((BYTES[values] if values.dtype == np.uint8 else mix(values + np.uint64(1))) * up[: len(values)], out=total[1:])
+    out = (total[ends] - total[starts]) * down[starts]
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        out[long] = place_hashes(values, starts[long], ends[long])
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 
 
 class Words:
