@@ -223,35 +223,38 @@ def plausible(short: Column, long: Column) -> Column:
     )
 
 
-def mine_shorthand(records: DataFrame, min_count: int = 2, min_lift: float = 1.2, most: int = 400, bucket: int = 60) -> DataFrame:
+def mine_shorthand(records: DataFrame, min_count: int = 2, min_lift: float = 1.2, most: int | None = 400, bucket: int | None = 60) -> DataFrame:
     """short, long, count, lift: shorthand that stands where a longer word stands in descriptions otherwise alike.
 
-    records: (id, own_clean). Records of 2 to 24 tokens that share one of their
-    three longest tokens are compared, where 2 to `bucket` share it; they may
-    differ in one or two tokens a side and share three or more. A pair of
-    tokens counts if it is plausible; lift is its share of the comparisons over
-    that by chance. Known shorthand is left out; each short has its best long.
+    records: (id, own_clean). Records of 2 to 24 content tokens that share one
+    of their three longest ones are compared, where 2 to bucket records share
+    it (None: any number); they may differ in one or two tokens a side and
+    share three or more. A pair of tokens counts if it is plausible; lift is
+    the share of rows that it counts for over that by chance. Known shorthand
+    is left out; each short has its best long, and the most best stay (None: all).
     """
-    rows = records.select("id", F.array_distinct(X.tokens(F.col("own_clean"))).alias("words")).where(F.size("words").between(2, 24))
+    rows = records.select("id", X.content_tokens(F.col("own_clean")).alias("words")).where(F.size("words").between(2, 24))
+    rows = materialise(rows.select("id", F.array_distinct("words").alias("words")))
     anchors = F.slice(F.array_sort(F.transform(F.filter("words", lambda t: F.length(t) >= 3), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 3)
     keyed = rows.select("id", "words", F.explode(F.transform(anchors, lambda s: s["t"])).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("key")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1" if bucket is None else F.col("n").between(2, bucket)).select("key")
     kept = keyed.join(sizes, "key", "left_semi")
     a, b = (kept.select("key", F.col("id").alias(f"{c}_id"), F.col("words").alias(f"w{c}")) for c in "ab")
-    pairs = materialise(a.join(b, "key").where("a_id < b_id").dropDuplicates(["a_id", "b_id"]).select("wa", "wb"))
-    total = max(pairs.count(), 1)
     x, y = F.array_except("wa", "wb"), F.array_except("wb", "wa")
-    differ = pairs.where(F.size(x).between(1, 2) & F.size(y).between(1, 2) & (F.size(F.array_intersect("wa", "wb")) >= 3)).select(F.explode(x).alias("x"), y.alias("ys")).select("x", F.explode("ys").alias("y"))
+    near = F.size(x).between(1, 2) & F.size(y).between(1, 2) & (F.size(F.array_intersect("wa", "wb")) >= 3)
+    pairs = a.join(b, "key").where(F.col("a_id") < F.col("b_id")).where(near).select("a_id", "b_id", x.alias("x"), y.alias("ys")).distinct()
+    differ = pairs.select(F.explode("x").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
     short = F.when(F.length("x") < F.length("y"), F.struct(F.col("x").alias("short"), F.col("y").alias("long"))).otherwise(F.struct(F.col("y").alias("short"), F.col("x").alias("long")))
     counts = differ.select(short.alias("s")).select("s.*").where(plausible(F.col("short"), F.col("long"))).groupBy("short", "long").agg(F.count("*").alias("count"))
     counts = counts.where((F.col("count") >= min_count) & ~F.col("short").isin(list(K.SHORTHAND)))
-    n = max(rows.count(), 1)
+    n = F.lit(float(max(rows.count(), 1)))
     frequency = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
     lifted = counts.join(frequency.select(F.col("word").alias("short"), F.col("f").alias("fs")), "short").join(frequency.select(F.col("word").alias("long"), F.col("f").alias("fl")), "long")
-    lift = (F.col("count") / F.lit(float(total))) / ((F.col("fs") / F.lit(float(n))) * (F.col("fl") / F.lit(float(n))))
-    lifted = lifted.withColumn("lift", F.round(lift, 6)).where(F.col("lift") >= min_lift).withColumn("worth", F.log("lift") * F.col("count"))
+    lift = F.round((F.col("count") / n) / ((F.col("fs") / n) * (F.col("fl") / n)), 6)
+    lifted = lifted.withColumn("lift", lift).where(F.col("lift") >= min_lift).withColumn("worth", F.log("lift") * F.col("count"))
     best = lifted.groupBy("short").agg(F.max_by(F.struct("long", "count", "lift", "worth"), F.struct("worth", "long", "count")).alias("b"))
-    return best.select("short", "b.long", "b.count", "b.lift", "b.worth").orderBy(F.desc("worth"), F.desc("short")).limit(most).drop("worth")
+    out = best.select("short", "b.long", "b.count", "b.lift", "b.worth").orderBy(F.desc("worth"), F.desc("short"))
+    return (out if most is None else out.limit(most)).drop("worth")
 
 
 def lexicon(mined: DataFrame) -> X.Lexicon:

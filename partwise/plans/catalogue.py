@@ -249,13 +249,13 @@ def ext_size(spark, d):
 @query()
 def ext_attributes(spark, d):
     """Every attribute of every record with its provenance."""
-    return E.trace(canonical(spark, d))
+    return E.trace(canonical(spark, d)).select("id", "class_code", "key", "value", "number", "confidence", "source")
 
 
 @query()
 def ext_coverage(spark, d):
     c = canonical(spark, d)
-    return c.select("id", "class_code", "coverage", F.array_join(E.missing_mandatory(F.col("class_code"), F.col("attributes")), ",").alias("missing"), F.array_join(E.residue(F.col("class_code"), F.col("normal"), F.col("attributes")), " ").alias("residue"))
+    return c.select("id", "class_code", "coverage", F.array_join(E.missing_mandatory(F.col("class_code"), F.col("attributes")), ",").alias("missing"))
 
 
 @query()
@@ -356,9 +356,10 @@ def blk_tokens(spark, d):
 
 @query()
 def blk_pairs(spark, d):
-    """Pairs by every key but tokens alone."""
-    some = records(spark, d).withColumn("keys", F.filter("keys", lambda k: ~F.startswith(k, F.lit("tok:"))))
-    return B.key_pairs(some).select("a_id", "b_id", F.array_join("strategies", ",").alias("strategies"))
+    """All pairs by every key, told by the kinds of keys that they share: how many, and two sums over their ids that change with any pair."""
+    met = B.key_pairs(records(spark, d)).withColumn("strategies", F.array_join("strategies", ","))
+    mixed = F.pmod(F.col("a_id") * 7919 + F.col("b_id"), F.lit(1_000_003))
+    return met.groupBy("strategies").agg(F.count("*").alias("pairs"), F.sum(F.col("a_id") * 31 + F.col("b_id")).alias("checksum"), F.sum(mixed).alias("mixed"))
 
 
 # --- vectors -----------------------------------------------------------------
@@ -385,7 +386,7 @@ def vec_idf(spark, d):
 @query()
 def vec_hash_embed(spark, d):
     r = material(spark, d).select("id", "cpse_code", X.normalise(F.col("description")).alias("normal"))
-    v = B.embed(r, 64, B.document_frequency(r))
+    v = B.embed(r, idf=B.document_frequency(r))
     return v.select("id", F.round(Z.dot(F.col("vector"), F.col("vector")), 4).alias("size2"), F.size("vector").alias("dim"))
 
 
@@ -703,7 +704,7 @@ def svc_review_queue(spark, d):
 
 @query()
 def fed_redact(spark, d):
-    return D.publishable(records(spark, d), "salt").select("id", "cpse_code", "class_code", F.array_join("hashed_keys", ",").alias("keys"))
+    return D.publishable(records(spark, d), "salt").select("id", "cpse_code", "class_code", F.explode("hashed_keys").alias("hashed"))
 
 
 @query(KEYS + ", a AS (SELECT DISTINCT key FROM k WHERE cpse_code = 'ORG00'), b AS (SELECT DISTINCT key FROM k WHERE cpse_code = 'ORG05') SELECT (SELECT count(*) FROM a JOIN b USING (key)) AS shared, (SELECT count(*) FROM a WHERE key NOT IN (SELECT key FROM b)) AS only_a, (SELECT count(*) FROM b WHERE key NOT IN (SELECT key FROM a)) AS only_b")
@@ -760,3 +761,6 @@ def st_dup_check(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which items look overpriced only because of the unit they are bought in."""
     return an_uom_anomaly(spark, sf_dir)
+
+
+from partwise.plans import more  # noqa: E402, F401  registers further queries

@@ -96,7 +96,7 @@ def test_fit_moves_towards_labels():
 
 
 def test_shorthand(spark):
-    rows = [(i, f"GALV STEEL PLATE {i} HEAVY DUTY") for i in range(4)] + [(10 + i, f"GALVANISED STEEL PLATE {i} HEAVY DUTY") for i in range(4)] + [(20 + i, f"BRNG ROLLER TAPERED {i}") for i in range(4)] + [(30 + i, f"BEARING ROLLER TAPERED {i}") for i in range(4)]
+    rows = [(i, f"GALV STEEL PLATE {i} HEAVY DUTY") for i in range(4)] + [(10 + i, f"GALVANISED STEEL PLATE {i} HEAVY DUTY") for i in range(4)] + [(20 + i, f"BRNG ROLLER TAPERED CHROME {i}") for i in range(4)] + [(30 + i, f"BEARING ROLLER TAPERED CHROME {i}") for i in range(4)]
     rows += [(100 + i, f"UNRELATED ITEM NUMBER X{i}") for i in range(40)]
     got = {r.short: r.long for r in B.mine_shorthand(spark.createDataFrame(rows, "id long, own_clean string")).collect()}
     assert got.get("BRNG") == "BEARING"
