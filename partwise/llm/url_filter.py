@@ -37,8 +37,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return found
 
 
-def shaped(path: Column, max_depth: int) -> Column:
-    """Segments with those of a variable shape generalised (an extension stays); those below max_depth become one **."""
+def shaped(path: Column, max_depth: int | None = None) -> Column:
+    """Segments with those of a variable shape generalised (an extension stays); those below max_depth, if it is given, become one **."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def general(s: Column) -> Column:
@@ -49,16 +49,18 @@ def shaped(path: Column, max_depth: int) -> Column:
             out = F.when(stem.rlike(pattern), F.lit(name)).otherwise(out)
         return F.concat(out, ext)
 
+    if max_depth is None:
+        return F.transform(segments, general)
     head = F.transform(F.slice(segments, 1, max_depth), general)
     return F.when(F.size(segments) > max_depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
 def template_tree(
-    urls: DataFrame, max_depth: int = 6, wide: int = 40, rare: float = 0.02, z: float = 1.96, prior: float = 10.0, reject: float = 0.5
+    urls: DataFrame, wide: int = 40, rare: float = 0.02, z: float = 1.96, prior: float = 10.0, reject: float = 0.5
 ) -> DataFrame:
     """Templates of urls (host, segments, labelled, bad): (host, segments, template, pages, labelled, bad, purity, rejected).
 
-    The tree is built from counts of distinct shaped paths, one level a round:
+    The tree is built from counts of distinct shaped paths, one level a round, down to the deepest path:
     - a literal segment becomes * where its parent has more than wide children
       and the segment has less than the share rare of the parent's pages;
     - siblings above the same set of suffixes whose share of bad labels lies
@@ -73,7 +75,7 @@ def template_tree(
     depth = base[2] or 0
     tree = paths.withColumn("at", F.lit("")).withColumn("path", F.array_join("segments", "/"))
     for d in range(1, depth + 1):
-        node = tree.withColumn("seg", F.get("segments", F.lit(d - 1))).withColumn("rest", F.array_join(F.slice("segments", d + 1, max_depth + 1), "/"))
+        node = tree.withColumn("seg", F.get("segments", F.lit(d - 1))).withColumn("rest", F.array_join(F.slice("segments", d + 1, depth), "/"))
         child = (
             node.where("seg IS NOT NULL")
             .groupBy("host", "at", "seg", "rest")
@@ -100,7 +102,7 @@ def template_tree(
     return tree.select("host", "segments", "at").join(judged, ["host", "at"]).withColumnRenamed("at", "template")
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], max_depth: int = 6, **tree) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], max_depth: int | None = None, **tree) -> DataFrame:
     """Judge every row of pages (page_id, url); labels: (page_id, bad boolean) of some of them.
 
     Returns page_id, host, path, rule, verdict. The longest rule that fits
@@ -115,7 +117,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     labelled = urls.where("host <> ''").join(marks, "page_id", "left")
     one = F.lit(1).cast("long")
     counted = labelled.select("host", "segments", F.when(F.col("is_bad").isNotNull(), one).otherwise(0).alias("labelled"), F.when(F.col("is_bad"), one).otherwise(0).alias("bad"))
-    rejected = template_tree(counted, max_depth, **tree).where("rejected").select("host", "segments", F.lit(True).alias("rejected"))
+    rejected = template_tree(counted, **tree).where("rejected").select("host", "segments", F.lit(True).alias("rejected"))
     judged = urls.join(rejected, ["host", "segments"], "left").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("rejected"), F.lit("block")).otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"))
