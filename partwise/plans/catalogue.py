@@ -95,9 +95,8 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def close_pairs(recs: DataFrame) -> DataFrame:
-    """Pairs of representatives that share the keys that a solver is mostly asked about: identity keys, and all blocking attributes."""
-    some = recs.withColumn("keys", F.filter("keys", lambda k: k.rlike("^(mpn|vmn|blk):")))
-    return G.materialise(B.key_pairs(G.materialise(some), across=False))
+    """Pairs of representatives that share any key."""
+    return G.materialise(B.key_pairs(recs, across=False))
 
 
 # --- sources and text --------------------------------------------------------
