@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partwise.llm.shared import buffers, chunks, materialise, span_hashes, table, typed
+from partwise.llm.shared import buffers, chunks, materialise, mix, span_hashes, table, typed
 
 # --- tokens ------------------------------------------------------------------
 
@@ -42,7 +42,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, cached: int = 800_000):
-        from tiktoken._tiktoken import CoreBPE
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -50,7 +50,7 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         symbols = byte_symbols()
         ranks = {bytes(symbols[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
-        self.bpe = CoreBPE(ranks, {}, r"[\s\S]+")
+        self.bpe = Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.cached, self.known = cached, {}
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +61,18 @@ class Encoder:
         lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
         bounds = lead[offsets - offsets[0]]
         starts, ends = split_words(points, bounds)
-        distinct, index, inverse = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        _, index, inverse = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        # Words of one hash are told apart by their lengths and by another sum; the words themselves are the keys of the cache.
+        other = np.add.reduceat(mix(points.astype(np.uint64)), starts) if len(starts) else starts
+        if (((ends - starts) != (ends - starts)[index][inverse]) | (other != other[index][inverse])).any():
+            index, inverse = np.arange(len(starts)), np.arange(len(starts))
         if len(self.known) > self.cached:
             self.known.clear()
-        known, encode = self.known, self.bpe.encode_single_piece
-        ids = list(map(known.get, distinct.tolist()))
-        new = [k for k, x in enumerate(ids) if x is None]
-        for k, h, a, b in zip(new, distinct[new].tolist(), starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True):
-            ids[k] = known[h] = array("I", encode(text[a:b].encode())).tobytes()
+        known, encode = self.known, self.bpe.encode_ordinary
+        found = [text[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+        ids = list(map(known.get, found))
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            ids[k] = known[found[k]] = array("I", encode(found[k])).tobytes()
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
@@ -337,24 +341,25 @@ def placed(plan: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, parts: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, per_part: int = 1 << 20) -> DataFrame:
     """Pack docs (doc_id, text) into sequences of at most capacity tokens; one row per piece of a document.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only
     the counts of the lengths, at most capacity numbers, come to the driver;
     there they are packed. A piece is then placed by its rank among those of
-    its length. Ranks are counted within parts by a hash of the document and
-    carried on from sums by part, so a length that many pieces share is not
-    ranked in one task. The plan that is sent out has at most a few rows for
+    its length. Ranks are counted within parts by a hash of the document, of
+    about per_part pieces of a length at most, and carried on from sums by part,
+    so a length that many pieces share is not ranked in one task. The plan that is sent out has at most a few rows for
     each pair of lengths, however many documents there are.
 
     Null texts are empty: a document of one end token. Rows that repeat a
     doc_id are documents of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
-    pieces = materialise(tokenised(docs, tokenizer, capacity, end_id).withColumn("part", part))
+    pieces = materialise(tokenised(docs, tokenizer, capacity, end_id))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = max(256, -(-max(counts.values(), default=0) // per_part))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     rows = plan_of(counts, capacity).rows()
     spread = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
