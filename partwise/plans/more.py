@@ -570,6 +570,17 @@ def reg_counts(spark, d):
     return R.counts(r, none, r.select("item").distinct()).select("materials", "organisations", "active", "quarantined", "excluded")
 
 
+@query("SELECT TRUE AS enough, count(*) FILTER (WHERE vec_id % 50 = 0) AS asked FROM embeddings")
+def vec_cells(spark, d):
+    """Neighbours of every fiftieth vector by cells, held against those of all vectors: whether 0.9 of them are found."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("org"), F.col("embedding").alias("vector"))
+    asked = v.where("id % 50 = 0")
+    real = B.nearest(v, 10, asked, across=False).select("id", "other")
+    got = B.nearest_in_cells(v, 10, asked, across=False).select("id", "other", F.lit(1).alias("hit"))
+    met = real.join(got, ["id", "other"], "left")
+    return met.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"), F.count_distinct("id").alias("asked"))
+
+
 @query("SELECT vec_id, CAST(64 AS INT) AS dim, CAST(256 AS INT) AS bytes, TRUE AS same FROM embeddings")
 def vec_packed(spark, d):
     """Vectors packed to bytes and unpacked again."""
