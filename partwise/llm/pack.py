@@ -41,7 +41,7 @@ class Encoder:
     special token in it is left to the library.
     """
 
-    def __init__(self, path: str, cached: int = 800_000):
+    def __init__(self, path: str, cached: int = 200_000):
         from tiktoken import Encoding
         from tokenizers import Tokenizer
 

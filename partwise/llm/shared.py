@@ -1,4 +1,4 @@
-"""Helpers of the operators: inputs, cut lineage, vectorised words, components.
+"""Helpers of the operators: inputs, vectorised words, groups.
 
 Tables that cut lineage are written as Parquet below the folder named in
 ``spark.checkpoint.dir``, so that they survive lost executors.
@@ -6,8 +6,6 @@ Tables that cut lineage are written as Parquet below the folder named in
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,35 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partwise.operators.graph import checkpoint_dir, components, materialise
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where none is named and everything runs in one process."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="partwise-"))
-    return sc.getCheckpointDir()
 
+__all__ = ["checkpoint_dir", "components", "materialise"]
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: a short plan over durable files."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that materialise wrote and that no plan will read again."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def few(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
@@ -346,41 +323,3 @@ def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """shared with the root of each id; only keys whose ids have different roots."""
     rooted = materialise(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     return rooted.join(rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_m"), F.count("*").alias("size")).where("_l <> _m").select("key", "size"), "key")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, root): the smallest id of the connected component of each id in edges (a, b).
-
-    Large-star and small-star rounds; each keeps at most as many edges as the
-    one before and ends in stars. A round is written to the shared folder.
-    """
-    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        # (u, v), u > v. small: each u links its smaller neighbours to the smallest; large: its larger ones.
-        near = e if small else e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        linked = near.join(least, "u")
-        if small:
-            out = linked.select(F.col("v").alias("x"), "m").union(least.select(F.col("u").alias("x"), "m"))
-        else:
-            out = linked.where("v > u").select(F.col("v").alias("x"), "m")
-        return out.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
-
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = digest(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        last, edges = edges, materialise(star(star(edges, False), True))
-        now = digest(edges)
-        forget(last)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-
