@@ -328,13 +328,13 @@ def thresholds(scored: DataFrame, least: int = 12) -> DataFrame:
     reject = order_statistic(both.where("label = 1"), "class_code", "score", alpha, "reject")
     raw = counts.join(accept, "class_code", "left").join(reject, "class_code", "left")
     few = counts.where((F.col("n_positive") + F.col("n_negative") < least) & (F.col("class_code") != "*")).select("class_code", alpha.alias("own"))
-    # A class with few labels takes the quantiles of all labels at its own alpha.
-    every = few.crossJoin(F.broadcast(own.select("score", "label").groupBy("score", "label").agg(F.count("*").alias("c"))))
-    w, n = Window.partitionBy("class_code", "label").orderBy("score"), Window.partitionBy("class_code", "label")
+    # A class with few labels takes the quantiles of all labels at its own alpha, of which there are a handful.
+    every = own.groupBy("score", "label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(few.select("own").distinct()))
+    w, n = Window.partitionBy("own", "label").orderBy("score"), Window.partitionBy("own", "label")
     q = F.when(F.col("label") == 1, F.col("own")).otherwise(1 - F.col("own"))
     ordered = every.withColumn("until", F.sum("c").over(w)).withColumn("n", F.sum("c").over(n)).where(F.col("until") >= F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round((F.col("n") + 1) * q, 9)))))
-    shared = ordered.groupBy("class_code").agg(F.min(F.when(F.col("label") != 1, F.col("score"))).alias("accept_all"), F.min(F.when(F.col("label") == 1, F.col("score"))).alias("reject_all"))
-    out = raw.join(few.select("class_code", F.lit(True).alias("fallback")), "class_code", "left").join(shared, "class_code", "left")
+    shared = ordered.groupBy("own").agg(F.min(F.when(F.col("label") != 1, F.col("score"))).alias("accept_all"), F.min(F.when(F.col("label") == 1, F.col("score"))).alias("reject_all"))
+    out = raw.join(few.select("class_code", "own", F.lit(True).alias("fallback")).join(shared, "own", "left").drop("own"), "class_code", "left")
     out = out.withColumn("fallback", F.coalesce("fallback", F.lit(False)))
     out = out.withColumn("accept", F.when(F.col("fallback"), F.col("accept_all")).otherwise(F.col("accept"))).withColumn("reject", F.when(F.col("fallback"), F.col("reject_all")).otherwise(F.col("reject")))
     return floored(out.drop("accept_all", "reject_all"), alpha)

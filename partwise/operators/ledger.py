@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,22 +61,28 @@ def head(log: DataFrame) -> tuple[int, str]:
 def chain_by_day(events: DataFrame) -> DataFrame:
     """events (event_id, event_type, payload_json, actor, created_at) as a log with one chain per day, each from GENESIS.
 
-    A day is chained in one task; days in parallel. merkle_roots ties the days
+    A day is chained in one task, which streams over its events in order and
+    holds a batch at a time; days in parallel. merkle_roots ties the days
     together. seq is the global rank by event_id.
     """
     rows = ranked(events.withColumn("day", F.substring("created_at", 1, 10)), "event_id").withColumnRenamed("rank", "seq")
-
-    def run(pdf):
-        prev, hashes, prevs = GENESIS, [], []
-        for r in pdf.sort_values("seq").itertuples():
-            prevs.append(prev)
-            prev = digest(r.seq, r.event_type, r.payload_json, r.actor, prev, r.created_at)
-            hashes.append(prev)
-        out = pdf.sort_values("seq").assign(prev_hash=prevs, hash=hashes)
-        return out[["seq", "day", "event_type", "payload_json", "actor", "created_at", "prev_hash", "hash"]]
+    names = ["seq", "day", "event_type", "payload_json", "actor", "created_at"]
+
+    def run(batches):
+        day, prev = None, GENESIS
+        for batch in batches:
+            prevs, hashes = [], []
+            for seq, own, kind, payload, actor, at in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+                if own != day:
+                    day, prev = own, GENESIS
+                prevs.append(prev)
+                prev = digest(seq, kind, payload, actor, prev, at)
+                hashes.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=[*names, "prev_hash", "hash"])
 
     kind = "seq long, day string, event_type string, payload_json string, actor string, created_at string, prev_hash string, hash string"
-    return rows.select("seq", "day", "event_type", F.coalesce("payload_json", F.lit("")).alias("payload_json"), F.coalesce("actor", F.lit("")).alias("actor"), "created_at").groupBy("day").applyInPandas(run, kind)
+    filled = rows.select("seq", "day", "event_type", F.coalesce("payload_json", F.lit("")).alias("payload_json"), F.coalesce("actor", F.lit("")).alias("actor"), "created_at")
+    return filled.repartition("day").sortWithinPartitions("day", "seq").mapInArrow(run, kind)
 
 
 def verify(log: DataFrame, chain: str | None = None) -> DataFrame:
