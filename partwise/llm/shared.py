@@ -183,7 +183,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about size bytes each; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
