@@ -66,10 +66,13 @@ def upkeep(members: DataFrame, cost: float = UPKEEP) -> DataFrame:
 def value_model(members: DataFrame) -> DataFrame:
     """lever, measured, value of all four; aggregation is a volume and in no total."""
     total = lambda df, c, name, measured, factor=1.0: df.agg(F.round(F.coalesce(F.sum(money(F.col(c))).cast("double"), F.lit(0.0)) * factor, 2).alias("value")).select(F.lit(name).alias("lever"), F.lit(measured).alias("measured"), "value")
+    # Sums over exact decimals, rounded once.
+    moved = redeployment(members).withColumn("value", F.col("qty") * F.col("price"))
+    bought = members.join(aggregation(members).select("nmc"), "nmc", "left_semi").select((F.coalesce("annual_demand", F.lit(0.0)) * F.coalesce("base_price", F.lit(0.0))).alias("annual_spend"))
     return (
-        total(redeployment(members), "value", "redeployment", True)
+        total(moved, "value", "redeployment", True)
         .union(total(pooling(members), "saving", "pooling", False, REALISABLE))
-        .union(total(aggregation(members), "annual_spend", "aggregation", True))
+        .union(total(bought, "annual_spend", "aggregation", True))
         .union(total(upkeep(members), "value", "upkeep", False))
     )
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,7 +168,9 @@ def cluster(nodes: DataFrame, edges: DataFrame, must: DataFrame | None = None, c
     told = kinds[0].union(kinds[1]).union(kinds[2])
     at = told.join(roots.withColumnRenamed("id", "a"), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b").where("root = root_b")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf):
+        import pandas as pd  # only workers of this function need it
+
         rows = {k: list(g[["a", "b", "weight"]].itertuples(index=False, name=None)) for k, g in pdf.groupby("kind")}
         members = sorted(set(pdf.a) | set(pdf.b))
         pairs = lambda k: [r[:2] for r in rows.get(k, [])]

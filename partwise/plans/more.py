@@ -144,8 +144,8 @@ ORACLES |= {
     " UNION ALL SELECT id, 'c:' || substr(' ' || normal || ' ', i, g) FROM (SELECT id, normal, g, unnest(range(1, length(normal) + 4 - g)) AS i FROM ws, (VALUES (3), (4)) t(g))), d AS (SELECT feature, count(DISTINCT id) AS df FROM f GROUP BY 1) SELECT feature, df, round(ln((SELECT count(*) + 1.0::DOUBLE FROM m) / (df + 0.5::DOUBLE)) + 1, 6) AS idf FROM d",
     "vec_hash_embed": MAT.rstrip(", ") + " SELECT id, 1.0::DOUBLE AS size2, CAST(256 AS INT) AS dim FROM m",
     "erp_change_requests": MEMBERS.rstrip(", ") + """ SELECT cpse_code || '|' || matnr || '|' || nmc AS idempotency_key, cpse_code, matnr, nmc, '{"classification":{"class":"ZNMC_CLASS","class_type":"001","characteristics":[{"ATNAM":"ZNMC","ATWRT":"' || nmc || '"},{"ATNAM":"ZNMC_CLASS_CODE","ATWRT":"VALVE"}]},"z_xref":{"table":"ZNMC_XREF","MATNR":"' || matnr || '","NMC":"' || nmc || '"},"proposed_standard_description":"' || replace(description, '"', '\\"') || '","requires_human_approval":true}' AS payload FROM members""",
-    "ec_value_model": PAIRS.rstrip() + ", " + POOL + "SELECT 'redeployment' AS lever, TRUE AS measured, round(coalesce(sum(CAST(round(value, 2) AS DECIMAL(38, 6)))::DOUBLE, 0), 2) AS value FROM p WHERE value > 0 UNION ALL SELECT 'pooling', FALSE, round(coalesce(sum(CAST(round(c * (1 - 1 / sqrt(locations::DOUBLE)), 2) AS DECIMAL(38, 6)))::DOUBLE, 0) * 0.45::DOUBLE, 2) FROM h"
-    " UNION ALL SELECT 'aggregation', TRUE, round(coalesce(sum(CAST(s AS DECIMAL(38, 6)))::DOUBLE, 0), 2) FROM (SELECT round(sum(CAST(annual_demand * base_price AS DECIMAL(38, 6)))::DOUBLE, 2) AS s FROM members GROUP BY nmc HAVING count(DISTINCT cpse_code) >= 2) UNION ALL SELECT 'upkeep', FALSE, (count(*) - count(DISTINCT nmc)) * 850.0::DOUBLE FROM members",
+    "ec_value_model": PAIRS.rstrip() + ", " + POOL + "SELECT 'redeployment' AS lever, TRUE AS measured, round(coalesce(sum(CAST(value AS DECIMAL(38, 6)))::DOUBLE, 0), 2) AS value FROM p WHERE value > 0 UNION ALL SELECT 'pooling', FALSE, round(coalesce(sum(CAST(round(c * (1 - 1 / sqrt(locations::DOUBLE)), 2) AS DECIMAL(38, 6)))::DOUBLE, 0) * 0.45::DOUBLE, 2) FROM h"
+    " UNION ALL SELECT 'aggregation', TRUE, round(coalesce(sum(s)::DOUBLE, 0), 2) FROM (SELECT sum(CAST(annual_demand * base_price AS DECIMAL(38, 6))) AS s FROM members GROUP BY nmc HAVING count(DISTINCT cpse_code) >= 2) UNION ALL SELECT 'upkeep', FALSE, (count(*) - count(DISTINCT nmc)) * 850.0::DOUBLE FROM members",
     "fed_redact": SPEC.rstrip() + ", " + KEYS[len(MAT) : KEYS.index("s AS (SELECT key")] + WORDS[len(MAT) :].rstrip() + ", " + TOKENS.rstrip() + ", every AS (SELECT DISTINCT * FROM (SELECT id, key FROM k UNION ALL SELECT id, key FROM ka UNION ALL SELECT id, key FROM kt))"
     f" SELECT e.id, p.cpse_code, p.class_code, {HMAC} AS hashed FROM every e JOIN p ON p.id = e.id",
     "lex_mine": WORDS.rstrip()
