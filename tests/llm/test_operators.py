@@ -300,6 +300,24 @@ def test_edit_distance_against_the_plain_table():
         assert all(line_dedup.within(s, t, m) == (d <= m) for m in {max(0, d - 1), d, d + 1, 3})
 
 
+def test_pairs_verified_at_once_against_one_by_one():
+    """Texts of all lengths and alphabets in one call give what the distance of each pair says."""
+    rng = random.Random(12)
+    s, t = ["", "a" * 3000, "x" * 10], ["", "a" * 2500 + "b" * 300, ""]
+    for n in (5, 60, 700):
+        for _ in range(60):
+            base = [rng.choice("abcdefgh é日\U0001f600") for _ in range(rng.randrange(n // 2, n))]
+            other = list(base)
+            for _ in range(rng.randrange(1 + n // 6)):
+                k = rng.randrange(len(other) + 1)
+                other[k : k + rng.randrange(2)] = rng.choice(["", "a", "éé"])
+            s.append("".join(base))
+            t.append("".join(other))
+    for similarity in (0.95, 0.9, 0.7):
+        want = [line_dedup.within(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)) for a, b in zip(s, t, strict=True)]
+        assert line_dedup.alike(s, t, similarity).tolist() == want and 20 < sum(want) < len(want)
+
+
 def test_sim_hash_of_long_and_short_texts():
     texts = [" ".join(f"w{k * n}" for k in range(n)) for n in (0, 1, 2, 254, 255, 256, 510, 511, 1500)]
     words = next(word_chunks(pa.array(texts)))
