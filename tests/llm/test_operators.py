@@ -358,6 +358,24 @@ def test_lines_of_small_edits_are_found(spark):
             assert sum(found) >= least * len(found), (n, kind, sum(found), len(found))
 
 
+def test_lines_are_found_beside_many_others(spark):
+    """Recall of edits all over a line does not fall as the table grows: 60,000 other lines stand beside."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(4, 9))) for _ in range(3000)]
+    rows = []
+    for n in (8, 20):
+        for _ in range(40):
+            base = " ".join(rng.choice(vocabulary) for _ in range(n))
+            line = list(base)
+            for at in rng.sample([k for k, c in enumerate(line) if c != " "], int(0.08 * len(line))):
+                line[at] = "q"
+            rows.append(base + "\n" + "".join(line))
+    others = [(1000 + i, "\n".join(" ".join(f"{rng.choice(vocabulary)}{rng.choice('xyz')}" for _ in range(8)) for _ in range(600))) for i in range(100)]
+    got = {r.doc_id: r.dropped for r in line_dedup.line_dedup(docs(spark, list(enumerate(rows)) + others)).collect()}
+    for k in (0, 40):
+        assert sum(1 in got[i] for i in range(k, k + 40)) >= 36, (k, sum(1 in got[i] for i in range(k, k + 40)))
+
+
 def test_the_query_drops_repeated_short_lines(spark, tmp_path):
     rows = [(1, "Share this\nown words a\n\n---"), (2, "share  THIS!\nown words b\n\n---"), (3, "Home\nshare this page"), (4, "home")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
