@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm.shared import Words, buffers, keep_rows, materialise, table, typed, word_chunks
+from partwise.llm.shared import Words, buffers, keep_rows, materialise, table, trimmed, typed, word_chunks
 
 OUT = "doc_id long, mark long, n_words long, items array<string>, starts array<long>, ends array<long>"
 
@@ -176,7 +176,7 @@ def item_windows(items: DataFrame, n: int, k: int) -> DataFrame:
                         names=["length", "hash", "item_id", "mark"],
                     )
 
-    return items.mapInArrow(run, "length int, hash long, item_id string, mark long")
+    return items.mapInArrow(trimmed(run), "length int, hash long, item_id string, mark long")
 
 
 def doc_windows(docs: DataFrame, lengths: list[int], keys: Keys, n: int, k: int) -> DataFrame:
@@ -197,7 +197,7 @@ def doc_windows(docs: DataFrame, lengths: list[int], keys: Keys, n: int, k: int)
                 columns = [pa.array(np.concatenate(starts)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(hashes).view(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *columns], names=["doc_id", "mark", "start", "length", "hash"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, start long, length int, hash long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, mark long, start long, length int, hash long")
 
 
 def joined(docs: DataFrame, items: DataFrame, n: int, k: int) -> DataFrame:
@@ -260,7 +260,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, k: int = 5, bl
     docs = typed(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text"))
     if size <= block_bytes:
         rows = sorted(((r.item_id, r.text) for r in items.collect()), key=lambda r: (r[0] or "", r[1]))
-        found = docs.mapInArrow(scan(Fingerprints(rows, n, k)), OUT)
+        found = docs.mapInArrow(trimmed(scan(Fingerprints(rows, n, k))), OUT)
     else:
         found = joined(docs, items, n, k)
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm.shared import LOWER, buffers, keep_rows, mix, table, typed
+from partwise.llm.shared import LOWER, buffers, keep_rows, mix, short_batches, table, trimmed, typed
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
@@ -131,7 +131,8 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], rows))], names=["bucket", "n"])
 
-    total = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    with short_batches(docs.sparkSession):
+        total = docs.select("text").mapInArrow(trimmed(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS, np.int64)
     for r in total:
         if r.bucket >= 0:
@@ -150,7 +151,7 @@ def sparse_counts(docs: DataFrame) -> DataFrame:
             columns = [pa.array(at, pa.list_(pa.int16())), pa.array([c[i].astype(np.int32) for c, i in zip(got, at, strict=True)], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "lang", "buckets", "counts"])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, buckets array<short>, counts array<int>")
+    return docs.select("doc_id", "lang", "text").mapInArrow(trimmed(run), "doc_id long, lang string, buckets array<short>, counts array<int>")
 
 
 def fit(docs: DataFrame, sample: int = 500, calibration: float = 0.2) -> Model:
@@ -172,7 +173,8 @@ def fit(docs: DataFrame, sample: int = 500, calibration: float = 0.2) -> Model:
     for language, size in sizes.items():
         share = F.when(F.col("lang") == language, min(1.0, sample / size)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_000)) / 1_000_000
-    rows = sparse_counts(docs.where(draw < share)).collect()
+    with short_batches(docs.sparkSession):
+        rows = sparse_counts(docs.where(draw < share)).collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang))
     examples, y, held = [], [], []
     for r in rows:
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             got = [bc.value.predict(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "mark", "lang_pred", "score"])
 
-    return typed(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text")).mapInArrow(run, "doc_id long, mark long, lang_pred string, score double")
+    return typed(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text")).mapInArrow(trimmed(run), "doc_id long, mark long, lang_pred string, score double")
 
 
 def fold() -> Column:

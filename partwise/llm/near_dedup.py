@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm.shared import Forest, Words, across, components, dealt, few, grouped, in_groups, keep_rows, materialise, mix, star_pairs, table, typed, word_chunks
+from partwise.llm.shared import Forest, Words, across, components, dealt, few, grouped, in_groups, keep_rows, materialise, mix, star_pairs, table, trimmed, typed, word_chunks
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "mark", "c1", "c2", "keys", "signature"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, mark long, c1 long, c2 long, keys array<long>, signature binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, mark long, c1 long, c2 long, keys array<long>, signature binary")
 
 
 def class_ids(text: np.ndarray, value: np.ndarray, times: np.ndarray, n_texts: int, salt: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def shingle_lists(texts: DataFrame, k: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (value.view(np.int64), times.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n), *lists], names=["id", "shingles", "times"])
 
-    return texts.mapInArrow(run, "id long, shingles array<long>, times array<int>")
+    return texts.mapInArrow(trimmed(run), "id long, shingles array<long>, times array<int>")
 
 
 def similarities(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> tuple[float, float]:
@@ -151,7 +151,7 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
             mask = pa.array([max(similarities(*x[r], *y[r])) >= threshold for r in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(trimmed(run), "a long, b long")
 
 
 def forest_links(groups: DataFrame, threshold: float, least: float) -> DataFrame:

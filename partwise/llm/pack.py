@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partwise.llm.shared import buffers, chunks, materialise, mix, span_hashes, table, typed
+from partwise.llm.shared import buffers, chunks, materialise, mix, release, span_hashes, table, trimmed, typed
 
 # --- tokens ------------------------------------------------------------------
 
@@ -138,10 +138,11 @@ def tokenised(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
+        release()  # what reading the file took
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            doc, piece, start, length, crc = [], [], [], [], []
             for i, j in chunks(offsets):
+                doc, piece, start, length, crc = [], [], [], [], []
                 ids, bounds = encoder.encode(data, offsets[i : j + 1])
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], end_id).astype("<u4")
@@ -153,10 +154,10 @@ def tokenised(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> Dat
                         start.append(s)
                         length.append(e - s)
                         crc.append(zlib.crc32(own[s:e].tobytes()))
-            columns = [batch.column(0).take(pa.array(doc, pa.int64())), *(pa.array(x, f.type) for x, f in zip((piece, start, length, crc), list(out)[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, schema=out)
+                columns = [batch.column(0).take(pa.array(doc, pa.int64())), *(pa.array(x, f.type) for x, f in zip((piece, start, length, crc), list(out)[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return typed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return typed(docs, doc_id="long", text="string").mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # --- packing -----------------------------------------------------------------
@@ -369,7 +370,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).alias("rank"))
     if not len(rows):
         return spark.createDataFrame([], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return ranked.mapInArrow(placed(rows), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(placed(rows)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def tokenizer_path() -> str:

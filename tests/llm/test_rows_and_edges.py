@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partwise.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, near_dedup
-from partwise.llm.shared import span_hashes, word_chunks
+from partwise.llm.shared import BATCH_BYTES, materialise, span_hashes, trimmed, word_chunks
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -238,3 +238,30 @@ def test_licence_places_against_brute_force(spark):
         assert (r.n_words, r.n_base) == (len(w), len(places)), (t, r)
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+def test_workers_get_short_batches_and_give_memory_back(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    def own():
+        return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())) >> 10
+
+    def hog(batches):
+        for _ in batches:
+            held = [np.ones(4_000) for _ in range(3_000)]  # 96 MB in pieces that the C library keeps
+            mine = pa.array(np.arange(4_000_000)).cast(pa.float64())
+            last = np.zeros(10)
+            del held, mine
+            yield pa.RecordBatch.from_arrays([pa.array([own()]), pa.array([last.sum()])], names=["n", "m"])
+
+    texts = spark.range(400).repartition(1).selectExpr("id", "repeat('x', 100000) AS text")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    got = [r.n for r in materialise(texts.mapInArrow(sizes, "n long")).collect()]
+    assert sum(got) > 40_000_000 and max(got) < 2 * BATCH_BYTES and spark.conf.get(name, None) == was
+    before = own()
+    for _ in trimmed(hog)([None, None]):
+        pass
+    assert own() - before < 24
