@@ -265,3 +265,52 @@ def test_workers_get_short_batches_and_give_memory_back(spark):
     for _ in trimmed(hog)([None, None]):
         pass
     assert own() - before < 24
+
+
+def edited(rng, text, letters, times):
+    out = list(text)
+    for _ in range(times):
+        at = rng.randrange(len(out) + 1)
+        out[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+    return "".join(out)
+
+
+def test_links_of_similar_lines_are_a_tree(spark):
+    rng = random.Random(5)
+    letters = "abcdefgh é日"
+    texts, own = [], []
+    for group in range(3):
+        line = "".join(rng.choice(letters) for _ in range(200))
+        for _ in range(20):
+            texts.append(edited(rng, line, letters, 4))
+            own.append(group)
+    pairs = [(a, b, rng.randrange(15)) for a in range(60) for b in range(a + 1, 60)]
+    for most in (10, 1 << 14):
+        groups = line_dedup.met(spark.createDataFrame(pairs, "a long, b long, d long"), spark.createDataFrame(list(enumerate(texts)), "id long, text string"), most)
+        links = [(r.a, r.b) for r in line_dedup.similar(groups, 0.9).collect()]
+        forest = line_dedup.Forest(np.arange(60))
+        for a, b in links:
+            assert own[a] == own[b]
+            forest.join(a, b)
+        assert len({forest.top(i) for i in range(60)}) == 3
+        assert most == 10 or len(links) == 57
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh é日", "".join(map(chr, range(200, 900)))])
+def test_blocks_of_bit_vectors_and_profiles_against_one_by_one(letters):
+    rng = random.Random(9)
+    texts, pairs, most = [], [], []
+    for size in (1, 5, 63, 64, 65, 130, 300):
+        for _ in range(30):
+            s = "".join(rng.choice(letters) for _ in range(size))
+            t = edited(rng, s, letters, rng.randrange(1 + size // 6))
+            s, t = sorted((s, t), key=len, reverse=True)
+            texts += [s, t]
+            pairs.append((s, t))
+            most.append(max(len(s) - len(t), int(0.1 * len(s))))
+    want = [line_dedup.within(s, t, m) for (s, t), m in zip(pairs, most, strict=True)]
+    assert line_dedup.band_within(pairs, np.array(most)).tolist() == want
+    x = np.arange(0, len(texts), 2)
+    like = line_dedup.alike([s for s, _ in pairs], [t for _, t in pairs], 0.9)
+    may = line_dedup.may_be_alike(line_dedup.profiles(texts), np.array([len(t) for t in texts]), x, x + 1, 0.9)
+    assert like.any() and not (like & ~may).any()
