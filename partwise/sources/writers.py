@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def write_outbox(requests: DataFrame, folder: str) -> None:
-    """Change requests as JSON lines, one per idempotency key, parted by organisation; those already in the folder are not written again."""
+    """Change requests as gzipped JSON lines, one per idempotency key; those already in the folder are not written again."""
     new = requests.dropDuplicates(["idempotency_key"])
     spark = requests.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         sent = spark.read.schema(requests.schema).json(folder).select("idempotency_key")
         new = new.join(sent, "idempotency_key", "left_anti")
-    new.write.mode("append").json(folder)
+    new.write.mode("append").json(folder, compression="gzip")
 
 
 def write_cross_reference(members: DataFrame, folder: str) -> None:

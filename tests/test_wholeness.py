@@ -10,6 +10,7 @@ from partwise.operators import graph as G
 from partwise.operators import service as S
 from partwise.plans import catalogue
 from partwise.plans import harmonise as H
+from partwise.sources import writers
 
 ITEM = "id long, cpse_code string, description string, uom string, unit_price double, annual_demand double, mfr_part_no string"
 
@@ -69,3 +70,11 @@ def test_equal_texts_have_one_vector(spark):
     assert {r.feature: r.df for r in idf.where("feature IN ('w:BOLT', 'b:NUT_M8')").collect()} == {"w:BOLT": 3, "b:NUT_M8": 3}
     got = {r.id: r.vector for r in B.embed(df, 16, idf).collect()}
     assert set(got) == {0, 1, 3, 4, 6, 7} and got[0] == got[3] == got[6] != got[1]
+
+
+def test_the_outbox_is_small_and_holds_each_request_once(spark, tmp_path):
+    rows = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("idempotency_key"), F.repeat(F.lit("payload "), 50).alias("payload"))
+    for _ in range(2):
+        writers.write_outbox(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) < 2000 * 100
